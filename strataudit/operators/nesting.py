@@ -1,9 +1,9 @@
 """Record documents: stores, objects and fields nested under their application.
 
-A document is written as one row while it has at most ``part_leaves`` leaves. A larger record becomes
-``n_parts`` rows, ``part`` 0 to n-1, each a document of the same shape with some of the leaves; objects
-stay in one piece unless the record holds an object that is itself too large. Together the parts hold
-the whole record, so no record, however large, has to fit in one task.
+A document is one row while it has at most ``part_leaves`` leaves. A larger record becomes ``n_parts``
+rows, ``part`` 0 to n-1, each a document of the same shape with some of the leaves; objects stay in one
+piece unless the record holds an object that is itself too large. Together the parts hold the whole
+record, so no record, however large, has to fit in one task.
 
 The flat product is never built. Store, object and field rows are brought to (record, part) in one
 shuffle and grouped there three times; every group is bounded because every part is.
@@ -11,23 +11,30 @@ shuffle and grouped there three times; every group is bounded because every part
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strataudit.functions.columns import to_bool
-from strataudit.functions.spread import bucket_of, distinct_keys
+from strataudit.functions.spread import bucket_of, having, lacking
 from strataudit.functions.struct_text import owner
 from strataudit.operators.hierarchy import (
     latest_snapshot, unique_fields, unique_objects, unique_stores, with_orphan_store,
 )
 from strataudit.schemas import DOCUMENT, ORPHAN_STORE, PART_LEAVES
+from strataudit.session import shared_folder
 
 _PART = ["record_id", "part"]
 
 
-def _weights(stores: DataFrame, objects: DataFrame, fields: DataFrame) -> DataFrame:
-    """Leaves per record and fields of its widest object, from narrow map-side combined counts.
+def large_records(
+    stores: DataFrame, objects: DataFrame, fields: DataFrame, part_leaves: int = PART_LEAVES,
+) -> DataFrame | None:
+    """Records that need several parts: (record_id, n_parts, spread), or None if there are none.
 
-    Copies are counted too: the numbers only size the parts.
+    ``spread`` is above 1 where an object alone is too large. Leaves are counted with copies, from
+    narrow columns and combined on the map side: the numbers only size the parts. The few rows are kept
+    as a table in the shared folder, so they are worked out once and their size is known to the planner.
     """
     on = ["application_name", "object_id"]
     per_object = fields.groupBy(*on).agg(F.count("*").alias("fields"))
@@ -35,24 +42,25 @@ def _weights(stores: DataFrame, objects: DataFrame, fields: DataFrame) -> DataFr
         "application_name", F.coalesce("fields", F.lit(0)).alias("widest"))
     counted = leaves.select("application_name", (F.col("widest") + 1).alias("leaves"), "widest").union(
         stores.select("application_name", F.lit(1).cast("long"), F.lit(0).cast("long")))
-    return counted.groupBy(F.col("application_name").alias("record_id")).agg(
-        F.sum("leaves").alias("leaves"), F.max("widest").alias("widest"))
+    parts_for = lambda n: F.greatest(F.ceil(n / F.lit(part_leaves)), F.lit(1)).cast("int")
+    large = counted.groupBy(F.col("application_name").alias("record_id")).agg(
+        parts_for(F.sum("leaves")).alias("n_parts"), parts_for(F.max("widest")).alias("spread")).filter("n_parts > 1")
+    spark = fields.sparkSession
+    table = f"{shared_folder(spark)}/strataudit-large-{uuid.uuid4().hex}"
+    large.write.parquet(table)
+    kept = spark.read.schema(large.schema).parquet(table)
+    return None if kept.isEmpty() else kept
 
 
-def _headers(apps: DataFrame, weights: DataFrame, part_leaves: int) -> DataFrame:
-    """One row per record with its header, the number of its parts, and how far fields are spread."""
-    parts_for = lambda n: F.greatest(F.ceil(F.coalesce(n, F.lit(0)) / F.lit(part_leaves)), F.lit(1)).cast("int")
+def _headers(apps: DataFrame) -> DataFrame:
     group = F.col("app_legal_reviewer_group") if "app_legal_reviewer_group" in apps.columns else F.lit("")
-    header = F.struct(
+    head = F.struct(
         F.col("app_description").alias("description"), owner("ownership").alias("owner"),
         to_bool(F.col("processes_sensitive_data")).alias("processes_sensitive_data"),
         to_bool(F.col("stores_sensitive_data")).alias("stores_sensitive_data"),
         group.alias("reviewer_group"),
     )
-    named = latest_snapshot(apps.filter("record_id <> ''"))
-    return named.join(weights, "record_id", "left").select(
-        "record_id", header.alias("app"), parts_for(F.col("leaves")).alias("n_parts"),
-        parts_for(F.col("widest")).alias("spread"))
+    return latest_snapshot(apps.filter("record_id <> ''")).select("record_id", head.alias("head"))
 
 
 def _store_struct(id_: Column, name: Column, technology: Column, flag: Column) -> Column:
@@ -60,28 +68,31 @@ def _store_struct(id_: Column, name: Column, technology: Column, flag: Column) -
                     flag.alias("has_sensitive_data"))
 
 
-def nest(
-    apps: DataFrame, stores: DataFrame, objects: DataFrame, fields: DataFrame,
-    part_leaves: int = PART_LEAVES,
-) -> DataFrame:
-    """Rows (record_id, part, n_parts, doc, reviewer_group)."""
-    stores = stores.filter("store_id <> ''")
-    objects = with_orphan_store(objects.filter("object_id <> ''"))
-    fields = fields.filter("field_name <> ''")
-    header = _headers(apps, _weights(stores, objects, fields), part_leaves)
-    sizes = header.select("record_id", "n_parts", "spread")
-
-    # Stores, with the size of their record. The orphan store takes the technology of its first object.
-    in_orphan = F.col("data_store_id") == ORPHAN_STORE
+def _store_rows(stores: DataFrame, objects: DataFrame) -> DataFrame:
+    """Store headers. The orphan store takes the technology of its first object."""
     real = unique_stores(stores).filter(F.col("store_id") != ORPHAN_STORE).select(
         F.col("application_name").alias("record_id"), "store_id",
         _store_struct(F.col("store_id"), F.col("store_name"), F.col("technology"),
                       to_bool(F.col("has_sensitive_data"))).alias("store"))
-    firsts = objects.filter(in_orphan).groupBy(F.col("application_name").alias("record_id")).agg(
-        F.min(F.struct("object_id", "object_name", "has_sensitive_data", "retention_days", "technology")).alias("o"))
-    lost = firsts.select("record_id", F.lit(ORPHAN_STORE).alias("store_id"), _store_struct(
-        F.lit(ORPHAN_STORE), F.lit(ORPHAN_STORE), F.col("o.technology"), F.lit(False)).alias("store"))
-    store = real.unionByName(lost).join(sizes, "record_id")
+    first = F.struct("object_id", "object_name", "has_sensitive_data", "retention_days", "technology")
+    lost = objects.filter(F.col("data_store_id") == ORPHAN_STORE).groupBy("application_name").agg(F.min(first).alias("o"))
+    return real.unionByName(lost.select(
+        F.col("application_name").alias("record_id"), F.lit(ORPHAN_STORE).alias("store_id"),
+        _store_struct(F.lit(ORPHAN_STORE), F.lit(ORPHAN_STORE), F.col("o.technology"), F.lit(False)).alias("store")))
+
+
+def _in_order(key: Column, value: Column) -> Column:
+    pairs = F.collect_list(F.when(value.isNotNull(), F.struct(key.alias("k"), value.alias("v"))))
+    return F.sort_array(pairs)["v"]
+
+
+def _nest(head: DataFrame, stores: DataFrame, objects: DataFrame, fields: DataFrame, sizes: DataFrame | None) -> DataFrame:
+    """Documents of the given records, in one part each or in the parts that ``sizes`` tells."""
+    if sizes is None:
+        whole = {"n_parts": F.lit(1), "spread": F.lit(1)}
+        head, store = (t.withColumns(whole) for t in (head, _store_rows(stores, objects)))
+    else:
+        head, store = (t.join(sizes, "record_id") for t in (head, _store_rows(stores, objects)))
 
     # Objects that have their store. Only a record of several parts repeats its store headers.
     placed = unique_objects(objects).select(
@@ -101,8 +112,8 @@ def nest(
 
     home = bucket_of(F.col("n_parts"), F.col("store_id"), F.col("object_id"))
     shift = bucket_of(F.col("spread"), F.col("field.field_name"))
-    rows = header.select("record_id", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"),
-                         F.struct("app", "n_parts").alias("head"))
+    rows = head.select("record_id", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"),
+                       F.struct("head.*", "n_parts").alias("head"))
     for level in (
         store.withColumn("part", bucket_of(F.col("n_parts"), F.col("store_id"))),
         placed.withColumn("part", home),
@@ -110,28 +121,44 @@ def nest(
     ):
         rows = rows.unionByName(level.drop("n_parts", "spread"), allowMissingColumns=True)
 
-    def in_order(key: Column, value: Column) -> Column:
-        pairs = F.collect_list(F.when(value.isNotNull(), F.struct(key.alias("k"), value.alias("v"))))
-        return F.transform(F.sort_array(pairs), lambda p: p.v)
-
     together = rows.repartition(*_PART)
     by_object = together.groupBy(*_PART, "store_id", "object_id").agg(
         F.max("head").alias("head"), F.max("store").alias("store"), F.max("object").alias("object"),
-        in_order(F.col("field.field_name"), F.col("field")).alias("fields"))
+        _in_order(F.col("field.field_name"), F.col("field")).alias("fields"))
     whole_object = F.when(F.col("object").isNotNull(), F.struct(
         "object.object_name", "object.object_id", "object.has_sensitive_data", "object.retention_days", "fields"))
     by_store = by_object.groupBy(*_PART, "store_id").agg(
         F.max("head").alias("head"), F.max("store").alias("store"),
-        in_order(F.col("object_id"), whole_object).alias("data_objects"))
+        _in_order(F.col("object_id"), whole_object).alias("data_objects"))
     whole_store = F.when(F.col("store").isNotNull(), F.struct(
         "store.store_name", "store.store_id", "store.technology", "store.has_sensitive_data", "data_objects"))
     store_order = F.struct((F.col("store_id") == ORPHAN_STORE).alias("last"), F.col("store_id"))
     by_record = by_store.groupBy(*_PART).agg(
-        F.max("head").alias("head"), in_order(store_order, whole_store).alias("data_stores"))
-    doc = F.struct("record_id", "head.app.description", "head.app.owner", "head.app.processes_sensitive_data",
-                   "head.app.stores_sensitive_data", "data_stores").cast(DOCUMENT)
-    return by_record.select("record_id", "part", "head.n_parts", doc.alias("doc"),
-                            F.col("head.app.reviewer_group").alias("reviewer_group"))
+        F.max("head").alias("head"), _in_order(store_order, whole_store).alias("data_stores"))
+    doc = F.struct("record_id", "head.description", "head.owner", "head.processes_sensitive_data",
+                   "head.stores_sensitive_data", "data_stores").cast(DOCUMENT)
+    n_parts = F.lit(1) if sizes is None else F.col("head.n_parts")
+    return by_record.filter("head IS NOT NULL").select(
+        "record_id", "part", n_parts.alias("n_parts"), doc.alias("doc"), F.col("head.reviewer_group").alias("reviewer_group"))
+
+
+def nest(
+    apps: DataFrame, stores: DataFrame, objects: DataFrame, fields: DataFrame,
+    part_leaves: int = PART_LEAVES,
+) -> DataFrame:
+    """Rows (record_id, part, n_parts, doc, reviewer_group)."""
+    head = _headers(apps)
+    stores = stores.filter("application_name <> '' AND store_id <> ''")
+    objects = with_orphan_store(objects.filter("object_id <> ''"))
+    fields = fields.filter("application_name <> '' AND field_name <> ''")
+    large = large_records(stores, objects, fields, part_leaves)
+    if large is None:
+        return _nest(head, stores, objects, fields, None)
+    ids = large.select("record_id")
+    child_ids = large.select(F.col("record_id").alias("application_name"))
+    children = (stores, objects, fields)
+    small = _nest(lacking(head, ids), *(lacking(c, child_ids) for c in children), None)
+    return small.unionByName(_nest(head, *(having(c, child_ids) for c in children), large))
 
 
 def flat_from_documents(docs: DataFrame) -> DataFrame:
