@@ -65,7 +65,8 @@ def _last_of_gate(found: str, gate: int) -> str:
 
 def _tables(section: str) -> str:
     """Table names in a section: from headings, then from the running text."""
-    headed = f"filter(transform({_all(section, _HEADING, 1)}, n -> {_name('n')}), n -> n <> '')"
+    headed = f"""if(contains({section}, '#'), filter(transform({_all(section, _HEADING, 1)}, n -> {_name('n')}),
+        n -> n <> ''), CAST(array() AS array<string>))"""
     inline = f"""filter(transform({_all(section, _INLINE, 1)}, n -> {_name('n')}),
         n -> length(n) > 2 AND lower(n) NOT IN ({sql_words(NOISE_WORDS)}))"""
     return f"array_distinct(concat({headed}, {inline}))"
@@ -84,8 +85,9 @@ def _contexts(section: str, pattern: str) -> str:
         named_struct('now', '', 'known', CAST(array() AS array<string>)),
         (acc, n) -> named_struct('now', coalesce(n, acc.now), 'known', concat(acc.known, array(coalesce(n, acc.now)))),
         acc -> transform(acc.known, n -> {_name('n')}))"""
-    return sql_let("w", f"named_struct('matches', {_all(section, pattern, 0)}, "
-                        f"'gaps', split({section}, {sql_pattern(pattern)}, -1))", nearest)
+    matches = _all(section, pattern, 0)
+    walk = sql_let("w", f"named_struct('matches', {matches}, 'gaps', split({section}, {sql_pattern(pattern)}, -1))", nearest)
+    return f"if(contains({section}, '#'), {walk}, transform({matches}, m -> ''))"
 
 
 def _item(gate: str, severity: str, description: str, table: str) -> str:
@@ -101,11 +103,17 @@ def _severity(text: str) -> str:
     return f"upper(regexp_extract({text}, {sql_pattern(_SEVERITY)}, 1))"
 
 
+def _if_bracketed(section: str, found: str) -> str:
+    """Both kinds of items need a bracket; a section without one is not searched."""
+    none = "CAST(array() AS array<struct<gate:int,severity:string,description:string,table:string>>)"
+    return f"if(contains({section}, '['), {found}, {none})"
+
+
 def _action_items(section: str, gate: str) -> str:
     """Numbered lines that carry a severity."""
     item = _item(gate, _severity("line"), _without_severity(sql_strip("line")), "get(a.tables, i)")
-    return sql_let("a", f"named_struct('lines', {_all(section, _ACTION, 1)}, 'tables', {_contexts(section, _ACTION)})",
-                   f"transform(a.lines, (line, i) -> {item})")
+    lines = f"named_struct('lines', {_all(section, _ACTION, 1)}, 'tables', {_contexts(section, _ACTION)})"
+    return _if_bracketed(section, sql_let("a", lines, f"transform(a.lines, (line, i) -> {item})"))
 
 
 def _checklist_items(section: str, gate: str) -> str:
@@ -116,7 +124,8 @@ def _checklist_items(section: str, gate: str) -> str:
         'box', get(a.boxes, i), 'words', {sql_strip('line')}, 'table', get(a.tables, i))),
         r -> r.box = ' ' AND r.words <> '')"""
     words = f"if({_severity('r.words')} = '', r.words, {_without_severity('r.words')})"
-    return sql_let("a", lines, f"transform({said}, r -> {_item(gate, _severity('r.words'), words, 'r.table')})")
+    item = _item(gate, _severity("r.words"), words, "r.table")
+    return _if_bracketed(section, sql_let("a", lines, f"transform({said}, r -> {item})"))
 
 
 def gate_sections(reviews: DataFrame) -> DataFrame:

@@ -13,6 +13,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations")
 _PREFIX = "strataudit_in_"
 
+# Views of texts, where parsing takes far longer than reading.
+_TEXTS = ("reviews",)
+
 # Columns that the views read. A declared schema spares a look into the file footers.
 _SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -152,6 +155,16 @@ FROM @part""",
 }
 
 
+def over_all_cores(rows: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores, spread over the cores.
+
+    A file of a few megabytes is one task, and all parsing of its texts would stay in it. A scan of real
+    size has more partitions than cores and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 class Inputs:
     """The views as DataFrames, for one folder of test tables."""
 
@@ -164,7 +177,8 @@ class Inputs:
         for table in TABLES:
             if f"@{table}" in text:
                 self._register(table)
-        return self.spark.sql(text.replace("@", _PREFIX))
+        rows = self.spark.sql(text.replace("@", _PREFIX))
+        return over_all_cores(rows) if name in _TEXTS else rows
 
     def stream_view(self, name: str, source: DataFrame) -> DataFrame:
         """A view over one table, with a stream in place of the table."""
