@@ -36,6 +36,4 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     import tempfile
 
-    folder = os.path.join(tempfile.gettempdir(), f"strataudit-{spark.sparkContext.applicationId}")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return os.path.join(tempfile.gettempdir(), f"strataudit-{spark.sparkContext.applicationId}")
