@@ -11,47 +11,19 @@ shuffle and grouped there three times; every group is bounded because every part
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strataudit.functions.columns import to_bool
 from strataudit.functions.spread import bucket_of, having, lacking
 from strataudit.functions.struct_text import owner
 from strataudit.operators.hierarchy import (
-    latest_snapshot, unique_fields, unique_objects, unique_stores, with_orphan_store,
+    large_records, latest_snapshot, unique_fields, unique_objects, unique_stores, with_orphan_store,
 )
 from strataudit.schemas import DOCUMENT, ORPHAN_STORE, PART_LEAVES
-from strataudit.session import shared_folder
 
 _PART = ["record_id", "part"]
 
 
-def large_records(
-    stores: DataFrame, objects: DataFrame, fields: DataFrame, part_leaves: int = PART_LEAVES,
-) -> DataFrame | None:
-    """Records that need several parts: (record_id, n_parts, spread), or None if there are none.
-
-    ``spread`` is above 1 where an object alone is too large. Leaves are counted with copies, from
-    narrow columns and combined on the map side: the numbers only size the parts. The few rows are kept
-    as a table in the shared folder, so they are worked out once and their size is known to the planner.
-    """
-    on = ["application_name", "object_id"]
-    per_object = fields.groupBy(*on).agg(F.count("*").alias("fields"))
-    leaves = objects.select(*on).join(per_object, on, "left").select(
-        "application_name", F.coalesce("fields", F.lit(0)).alias("widest"))
-    counted = leaves.select("application_name", (F.col("widest") + 1).alias("leaves"), "widest").union(
-        stores.select("application_name", F.lit(1).cast("long"), F.lit(0).cast("long")))
-    parts_for = lambda n: F.greatest(F.ceil(n / F.lit(part_leaves)), F.lit(1)).cast("int")
-    large = counted.groupBy(F.col("application_name").alias("record_id")).agg(
-        parts_for(F.sum("leaves")).alias("n_parts"), parts_for(F.max("widest")).alias("spread")).filter("n_parts > 1")
-    spark = fields.sparkSession
-    table = f"{shared_folder(spark)}/strataudit-large-{uuid.uuid4().hex}"
-    large.write.parquet(table)
-    kept = spark.read.schema(large.schema).parquet(table)
-    return None if kept.isEmpty() else kept
-
-
 def _headers(apps: DataFrame) -> DataFrame:
     group = F.col("app_legal_reviewer_group") if "app_legal_reviewer_group" in apps.columns else F.lit("")
     head = F.struct(
