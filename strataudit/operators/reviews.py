@@ -152,52 +152,65 @@ def items(reviews: DataFrame, kinds: tuple[str, ...] = ("action", "checklist"))
     return cut.select(*keep, F.inline(listed)).select(*keep, "kind", "position", "item.*")
 
 
-def findings(
+def _chosen_gates(gate: int | None) -> dict[int, str]:
+    if gate is None:
+        return GATE_TITLES
+    try:
+        return {int(gate): GATE_TITLES[int(gate)]}
+    except (TypeError, ValueError, KeyError):
+        raise ValueError(f"gate must be 1 to 5, got {gate!r}") from None
+
+
+def gate_findings(
     reviews: DataFrame, gate: int | None = None, table: str | None = None, distinct: bool = False,
 ) -> DataFrame:
-    """Parsed findings, one row per review: error, total_findings, gates, affected_tables, action_items.
+    """One row per review and gate, also for gates without text: gate_number, title, finding_count, tables,
+    action_items.
 
     ``gate`` and ``table`` limit what is reported. ``distinct`` counts an item once that matches both as
-    a numbered line and as a checklist line. A review without text gets an error and no findings.
+    a numbered line and as a checklist line.
     """
-    if gate is not None:
-        try:
-            gate = int(gate)
-        except (TypeError, ValueError):
-            raise ValueError(f"gate must be 1 to 5, got {gate!r}") from None
-        if gate not in GATE_TITLES:
-            raise ValueError(f"gate must be 1 to 5, got {gate!r}")
-    chosen = {n: t for n, t in GATE_TITLES.items() if gate is None or n == gate}
     keep = [c for c in reviews.columns if c != "content"]
-    listed = f"concat({_action_items('k.section', 'k.gate')}, {_checklist_items('k.section', 'k.gate')})"
+    titles = ", ".join(f"named_struct('gate_number', {n}, 'title', '{t}', 'section', "
+                       f"coalesce({_last_of_gate('found', n)}.section, ''))" for n, t in _chosen_gates(gate).items())
+    cut = reviews.select(*keep, F.inline(F.expr(
+        sql_let("found", _sections("coalesce(content, '')"), f"array({titles})"))))
+    listed = f"concat({_action_items('section', 'gate_number')}, {_checklist_items('section', 'gate_number')})"
     if distinct:
         listed = f"array_distinct({listed})"
-    named = _tables("k.section")
+    named = _tables("section")
     if table:
+        cut = cut.withColumn("wanted", F.lower(F.lit(table)))
         listed = f"filter({listed}, it -> lower(it.table) = wanted)"
         named = f"filter({named}, n -> lower(n) = wanted)"
-    titles = ", ".join(f"named_struct('gate', {n}, 'title', '{t}', 'section', "
-                       f"coalesce({_last_of_gate('found', n)}.section, ''))" for n, t in chosen.items())
-    summary = sql_let("its", listed, f"""named_struct('gate_number', k.gate, 'title', k.title,
-        'finding_count', size(its), 'tables', {named}, 'action_items', its)""")
-    source = reviews.withColumn("wanted", F.lower(F.lit(table))) if table else reviews
-    parsed = source.select(
-        *keep, F.when(is_blank(F.col("content")), "InvalidParams").alias("error"),
-        F.expr(sql_let("found", _sections("coalesce(content, '')"),
-                       f"transform(array({titles}), k -> {summary})")).alias("gates"))
+    return cut.select(*keep, "gate_number", "title", F.expr(named).alias("tables"),
+                      F.expr(listed).alias("action_items")).withColumn("finding_count", F.size("action_items"))
+
+
+def findings(
+    reviews: DataFrame, gate: int | None = None, table: str | None = None, distinct: bool = False,
+) -> DataFrame:
+    """Parsed findings, one row per review: error, total_findings, gates, affected_tables, action_items.
+
+    The gates of ``gate_findings`` brought together by ``review_id``: one row per gate, five at most. A
+    review without text gets an error and no findings.
+    """
+    keep = [c for c in reviews.columns if c != "content"]
+    marked = reviews.withColumn("error", F.when(is_blank(F.col("content")), "InvalidParams"))
+    rows = gate_findings(marked, gate, table, distinct)
+    one_gate = F.struct("gate_number", "title", "finding_count", "tables", "action_items")
+    parsed = rows.groupBy(*keep, "error").agg(F.sort_array(F.collect_list(one_gate)).alias("gates"))
     return parsed.select(
         *keep, "error", F.expr("aggregate(gates, 0, (n, g) -> n + g.finding_count)").alias("total_findings"), "gates",
         F.expr("array_distinct(flatten(gates.tables))").alias("affected_tables"),
         F.expr("flatten(gates.action_items)").alias("action_items"))
 
 
-def gate_summary(found: DataFrame) -> DataFrame:
-    """Findings as one row per review and gate; the name lists are joined to text."""
-    keep = [c for c in found.columns if c not in ("error", "total_findings", "gates", "affected_tables", "action_items")]
-    rows = found.select(*keep, F.inline("gates"))
+def gate_summary(by_gate: DataFrame) -> DataFrame:
+    """Gate findings with their lists joined to text."""
+    keep = [c for c in by_gate.columns if c not in ("tables", "action_items")]
     texts = F.expr("transform(action_items, it -> concat_ws('|', it.severity, it.description, it.table))")
-    return rows.select(*keep, "gate_number", "title", "finding_count", F.array_join("tables", "; ").alias("tables"),
-                       F.array_join(texts, "; ").alias("action_items"))
+    return by_gate.select(*keep, F.array_join("tables", "; ").alias("tables"), F.array_join(texts, "; ").alias("action_items"))
 
 
 def delta(current: DataFrame, prior: DataFrame) -> DataFrame:

@@ -318,11 +318,11 @@ def checklist_items(t: Inputs) -> DataFrame:
 
 
 def findings_summary(t: Inputs) -> DataFrame:
-    return reviews.gate_summary(reviews.findings(t.view("reviews")))
+    return reviews.gate_summary(reviews.gate_findings(t.view("reviews")))
 
 
 def findings_filtered(t: Inputs) -> DataFrame:
-    return reviews.gate_summary(reviews.findings(t.view("reviews"), gate=3, table="USERS"))
+    return reviews.gate_summary(reviews.gate_findings(t.view("reviews"), gate=3, table="USERS"))
 
 
 def review_delta(t: Inputs) -> DataFrame:
