@@ -167,17 +167,18 @@ def gate_findings(
     """One row per review and gate, also for gates without text: gate_number, title, finding_count, tables,
     action_items.
 
-    ``gate`` and ``table`` limit what is reported. ``distinct`` counts an item once that matches both as
-    a numbered line and as a checklist line.
+    ``gate`` and ``table`` limit what is reported. A numbered line with an open box and a severity is found
+    both as an action item and as a checklist item; ``distinct`` keeps the checklist item only.
     """
     keep = [c for c in reviews.columns if c != "content"]
     titles = ", ".join(f"named_struct('gate_number', {n}, 'title', '{t}', 'section', "
                        f"coalesce({_last_of_gate('found', n)}.section, ''))" for n, t in _chosen_gates(gate).items())
     cut = reviews.select(*keep, F.inline(F.expr(
         sql_let("found", _sections("coalesce(content, '')"), f"array({titles})"))))
-    listed = f"concat({_action_items('section', 'gate_number')}, {_checklist_items('section', 'gate_number')})"
+    numbered = _action_items("section", "gate_number")
     if distinct:
-        listed = f"array_distinct({listed})"
+        numbered = f"filter({numbered}, it -> NOT startswith(it.description, '[ ]'))"
+    listed = f"concat({numbered}, {_checklist_items('section', 'gate_number')})"
     named = _tables("section")
     if table:
         cut = cut.withColumn("wanted", F.lower(F.lit(table)))
