@@ -17,12 +17,12 @@ from strataudit.schemas import ORPHAN_STORE
 SENSITIVE_WORDS = ("email", "phone", "address", "ssn", "birth", "passport")
 
 
-def _violations(df: DataFrame, gate: int, rule: str, severity: str, store: str | None = None,
-                obj: str | None = None, field: str | None = None) -> DataFrame:
-    text = lambda c: F.col(c) if c else F.lit(None).cast("string")
-    return df.select(
-        "record_id", F.lit(gate).alias("gate"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
-        text(store).alias("store_id"), text(obj).alias("object_id"), text(field).alias("field_name"))
+def _violations(df: DataFrame, rules: dict[tuple[int, str, str], Column], *where: str) -> DataFrame:
+    """Rows that break a rule (gate, name, severity). All rules over one table are tested in one pass."""
+    broken = [F.when(test, F.struct(F.lit(g).alias("gate"), F.lit(n).alias("rule"), F.lit(v).alias("severity")))
+              for (g, n, v), test in rules.items()]
+    place = [F.col(c) if c in where else F.lit(None).cast("string").alias(c) for c in ("store_id", "object_id", "field_name")]
+    return df.select("record_id", F.inline(F.array_compact(F.array(*broken))), *place)
 
 
 def gate_checks(
@@ -55,24 +55,22 @@ def gate_checks(
         F.col("application_name").alias("record_id"), "object_id", "field_name")
     hinted = hints.join(placed, ["record_id", "object_id"])
 
-    one_store_object = dict(store="store_id", obj="object_id")
+    whole = F.lit(True)
+    no_objects = lacking(store, distinct_keys(keyed, record_id="application_name", store_id="data_store_id"))
+    no_fields = lacking(placed, distinct_keys(named, record_id="application_name", object_id="object_id"))
+    unset = is_blank(F.col("processes_sensitive_data")) | is_blank(F.col("stores_sensitive_data"))
     checks = [
-        _violations(app.filter(is_blank(F.col("app_description"))), 1, "missing_description", "HIGH"),
-        _violations(app.filter(is_blank(F.col("processes_sensitive_data")) | is_blank(F.col("stores_sensitive_data"))),
-                    1, "flags_not_set", "MEDIUM"),
-        _violations(lacking(store, distinct_keys(keyed, record_id="application_name", store_id="data_store_id")),
-                    1, "store_without_objects", "MEDIUM", store="store_id"),
-        _violations(lacking(placed, distinct_keys(named, record_id="application_name", object_id="object_id")),
-                    1, "object_without_fields", "LOW", **one_store_object),
-        _violations(placed.filter(F.col("store_flag") & no_days), 1, "missing_retention", "HIGH", **one_store_object),
-        _violations(hinted.filter(~F.col("object_flag")), 3, "unflagged_object", "HIGH",
-                    field="field_name", **one_store_object),
-        _violations(hinted.filter(~F.col("store_flag") & ~in_orphan), 3, "unflagged_store", "HIGH",
-                    field="field_name", **one_store_object),
-        _violations(placed.filter(~no_days & F.coalesce(days <= 0, F.lit(True))), 4, "unreasonable_retention", "MEDIUM",
-                    **one_store_object),
-        _violations(placed.filter(F.col("object_flag") & no_days), 4, "sensitive_without_retention", "HIGH",
-                    **one_store_object),
+        _violations(app, {(1, "missing_description", "HIGH"): is_blank(F.col("app_description")),
+                          (1, "flags_not_set", "MEDIUM"): unset}),
+        _violations(no_objects, {(1, "store_without_objects", "MEDIUM"): whole}, "store_id"),
+        _violations(no_fields, {(1, "object_without_fields", "LOW"): whole}, "store_id", "object_id"),
+        _violations(placed, {(1, "missing_retention", "HIGH"): F.col("store_flag") & no_days,
+                             (4, "unreasonable_retention", "MEDIUM"): ~no_days & F.coalesce(days <= 0, F.lit(True)),
+                             (4, "sensitive_without_retention", "HIGH"): F.col("object_flag") & no_days},
+                    "store_id", "object_id"),
+        _violations(hinted, {(3, "unflagged_object", "HIGH"): ~F.col("object_flag"),
+                             (3, "unflagged_store", "HIGH"): ~F.col("store_flag") & ~in_orphan},
+                    "store_id", "object_id", "field_name"),
     ]
     return reduce(DataFrame.unionByName, checks)
 
