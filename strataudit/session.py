@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -26,14 +26,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting: there a temporary folder of this machine is
-    seen by every task.
+    Where that is unset, as in tests, it is a folder in the warehouse, which executors share as well.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    import tempfile
-
-    return os.path.join(tempfile.gettempdir(), f"strataudit-{spark.sparkContext.applicationId}")
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/strataudit-work"
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the session removes it when it ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/strataudit-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def work_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends there, lost executors lose nothing."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
