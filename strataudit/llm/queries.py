@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strataudit.llm import jaccard, packing, quality, secrets, tokens
+from strataudit.llm import content, fingerprints, jaccard, neighbours, packing, quality, secrets, sequences, subwords, tokens, urls
 from strataudit.session import work_table
 
 CAPACITY = 4096
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SEQUENCE, SHARD = 2048, 2048
 ACCEPTED = 0.7
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +29,16 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
 
 
+def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"), URL_RULES)
+
+
+def op3_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    stored = work_table(sequences.cut(_table(spark, folder, "documents"), TOKENIZER, SEQUENCE), "sequences")
+    ordered = sequences.in_training_order(stored, "training order", SHARD, SEQUENCE)
+    return ordered.select("slot", "shard", "offset", "n_ids", "doc_ids", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, folder, "documents")))
 
@@ -41,13 +54,52 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_content(spark: SparkSession, folder: str) -> DataFrame:
+    found = content.extract(_table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def op7_subwords(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = subwords.encode(_table(spark, folder, "documents"), PIECES)
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids")
+
+
 def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 50 = 0").select("vec_id"))
+
+
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_quality, op4_secrets, op6_packing, op8_jaccard)}
+    return {q.__name__: q for q in (op1_quality, op2_urls, op3_training_order, op4_secrets, op5_content, op6_packing, op7_subwords, op8_jaccard, op9_neighbours,
+                                   op10_fingerprints)}
+
+
+#: Sets, links and components of documents, as in ``op8_jaccard``.
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))
+                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reached(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.y, reached.c FROM reached JOIN links ON links.x = reached.doc_id)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least.c AS component_id
+FROM sets JOIN (SELECT doc_id, min(c) AS c FROM reached GROUP BY doc_id) AS least ON sets.doc_id = least.doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_jaccard": JACCARD_SQL}
