@@ -128,6 +128,10 @@ def content_lines(lines: list[tuple[str, int, int, int]]) -> list[str]:
 
 
 def main_text(html: str) -> str:
+    """The article's blocks, a line each. A tag that the page breaks off in is no text."""
+    last = html.rfind("<")
+    if last > html.rfind(">") and html[last + 1:last + 2].strip(" /!").isalpha():
+        html = html[:last]
     parser = Lines()
     parser.feed(html)
     parser.close()
