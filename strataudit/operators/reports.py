@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from strataudit.functions.columns import strip_spaces
 from strataudit.functions.spread import number_rows
 
 # Fixed value: the form of a report name.
@@ -22,15 +23,15 @@ def last_numbers(existing: DataFrame) -> DataFrame:
 def report_names(reviews: DataFrame, existing: DataFrame) -> DataFrame:
     """Numbers and names for new reviews (review_id, record_id, created), after the existing ones.
 
-    Within a record and date the numbers follow the minute of creation; within a minute, an order that
-    is fixed by the review ids. Numbers above 999 get more digits.
+    Within a record and date the numbers follow the time of creation, then the review id. They are counted by second
+    first, so that no task numbers all reviews of a record. Numbers above 999 get more digits.
     """
-    record = F.trim("record_id")
+    record = strip_spaces(F.col("record_id"))
     dated = reviews.select("review_id", record.alias("record_id"), "created",
                            F.date_format("created", "yyyyMMdd").alias("day"))
     minute = F.date_format("created", "HHmm")
-    spread = F.substring(F.md5("review_id"), 1, 2)
-    numbered = number_rows(dated, ["record_id", "day"], [minute, spread], [F.col("review_id")], "i")
+    second = F.date_format("created", "ss")
+    numbered = number_rows(dated, ["record_id", "day"], [minute, second], [F.col("created"), F.col("review_id")], "i")
     seq = (F.coalesce("last", F.lit(0)) + F.col("i")).alias("seq")
     named = numbered.join(last_numbers(existing), ["record_id", "day"], "left").select("review_id", "record_id", "day", seq)
     return named.withColumn("report_name", F.format_string("%s_review_%s_%03d.md", "record_id", "day", "seq"))

@@ -47,8 +47,8 @@ def outcomes(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def usage_hits(outcome: DataFrame) -> DataFrame:
-    """The requests that count as usage: exact lookups of a record that was found."""
-    return outcome.filter("status = 200 AND NOT coalesce(is_partial, false)")
+    """The requests that count as usage: exact lookups of a record that was found, under its id without padding."""
+    return outcome.filter("status = 200 AND NOT coalesce(is_partial, false)").withColumn("record_id", strip_spaces(F.col("record_id")))
 
 
 def version_lookup(requests: DataFrame, versions: DataFrame) -> DataFrame:

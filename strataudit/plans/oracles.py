@@ -481,7 +481,7 @@ def oracle_sql() -> dict[str, str]:
               FROM fx_old_reports WHERE report_name LIKE '%.md' GROUP BY 1, 2)""",
                               """new AS (SELECT *, strftime(created, '%Y%m%d') AS day FROM fx_new_reports)""",
                               """seqs AS (SELECT new.review_id, new.record_id, new.day, coalesce(last, 0) + row_number() OVER (
-              PARTITION BY new.record_id, new.day ORDER BY strftime(created, '%H%M'), substr(md5(review_id), 1, 2), review_id)
+              PARTITION BY new.record_id, new.day ORDER BY created, review_id)
               AS seq FROM new LEFT JOIN used ON new.record_id = used.record_id AND new.day = used.day)""",
                               views=("new_reports", "old_reports"))
         + "SELECT *, printf('%s_review_%s_%03d.md', record_id, day, seq) AS report_name FROM seqs",

@@ -61,6 +61,12 @@ def test_usage_batch_and_stream_agree(spark, records, tmp_path):
     assert usage.most_used(usage.counters(hits)).first().record_id == "TestApp"
 
 
+def test_padded_ids_count_under_the_trimmed_one(spark):
+    seen = spark.createDataFrame([("A", 200, False), (" A ", 200, False), ("\tA\n", 200, False), (" B", 404, False)],
+                                 "record_id string, status int, is_partial boolean")
+    assert [r.record_id for r in requests.usage_hits(seen).collect()] == ["A"] * 3
+
+
 def test_statistics(spark, records):
     assert cache.statistics("count", records).first()[0] == 3
     assert [r[0] for r in cache.statistics("list", records).collect()] == ["Idle", "LargeApp", "TestApp"]
