@@ -67,16 +67,16 @@ FROM @orders"""
 VIEWS: dict[str, str] = {
     # One snapshot per customer, a second one for the richer customers.
     "apps": _apps(1) + "\nUNION ALL" + _apps(2) + "\nWHERE c_acctbal > 6000",
-    # The poorest customers have no stores.
+    # The stores of the poorest customers do not tell their record.
     "stores": """
-SELECT c_name AS application_name, CAST(o_orderkey AS VARCHAR(20)) AS store_id,
+SELECT CASE WHEN c_acctbal >= -800 THEN c_name ELSE '' END AS application_name, CAST(o_orderkey AS VARCHAR(20)) AS store_id,
        concat('store-', CAST(o_orderkey AS VARCHAR(20))) AS store_name,
        o_orderpriority AS technology,
        CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END AS has_sensitive_data
-FROM @orders JOIN @customer ON o_custkey = c_custkey WHERE c_acctbal >= -800""",
-    # Line 7 has no store, some lines name a store that does not exist; the very poorest have nothing.
+FROM @orders JOIN @customer ON o_custkey = c_custkey""",
+    # Line 7 has no store, some lines name a store that does not exist; those of the very poorest tell no record.
     "objects": """
-SELECT c_name AS application_name,
+SELECT CASE WHEN c_acctbal >= -900 THEN c_name ELSE '' END AS application_name,
        CASE WHEN l_linenumber = 7 THEN NULL
             WHEN l_linenumber = 6 AND l_orderkey % 100 = 0 THEN 'missing'
             ELSE CAST(l_orderkey AS VARCHAR(20)) END AS data_store_id,
@@ -86,16 +86,16 @@ SELECT c_name AS application_name,
        CASE WHEN l_returnflag = 'N' THEN '' WHEN l_tax = 0 THEN 'unknown'
             ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR(9)) END AS retention_days,
        l_linestatus AS technology
-FROM @lineitem JOIN @orders ON l_orderkey = o_orderkey JOIN @customer ON o_custkey = c_custkey
-WHERE c_acctbal >= -900""",
+FROM @lineitem JOIN @orders ON l_orderkey = o_orderkey JOIN @customer ON o_custkey = c_custkey""",
+    # The fields of line 5 tell no record, so its object has none.
     "fields": """
-SELECT c_name AS application_name,
+SELECT CASE WHEN l_linenumber = 5 THEN '' ELSE c_name END AS application_name,
        concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9))) AS object_id,
        CASE p_size % 6 WHEN 0 THEN 'email' WHEN 1 THEN 'phone_number' WHEN 2 THEN 'address'
             WHEN 3 THEN 'quantity' WHEN 4 THEN p_name END AS field_name,
        p_name AS field_description, p_brand AS field_type
 FROM @lineitem JOIN @orders ON l_orderkey = o_orderkey JOIN @customer ON o_custkey = c_custkey
-JOIN @part ON l_partkey = p_partkey WHERE l_linenumber <> 5""",
+JOIN @part ON l_partkey = p_partkey""",
     "lookups": """
 SELECT event_id, ts,
        CASE WHEN user_id % 20 = 0 THEN '' WHEN user_id % 21 = 0 THEN 'Customer#none'

@@ -70,8 +70,7 @@ def normalise_booleans(t: Inputs) -> DataFrame:
 
 
 def struct_text_pairs(t: Inputs) -> DataFrame:
-    latest = hierarchy.latest_snapshot(t.view("apps"))
-    return struct_pairs(latest.filter("startswith(ownership, '{')"), "record_id", "ownership")
+    return struct_pairs(hierarchy.latest_snapshot(t.view("apps")), "record_id", "ownership")
 
 
 def owner_extract(t: Inputs) -> DataFrame:
