@@ -44,10 +44,6 @@ def sql_strip(text: str) -> str:
     return f"regexp_replace({text}, {sql_pattern(_EDGE_SPACE)}, '')"
 
 
-def sql_to_bool(value: str) -> str:
-    return f"coalesce(lower({sql_strip(f'CAST({value} AS string)')}) IN ({sql_words(TRUE_WORDS)}), false)"
-
-
 def strip_spaces(text: Column) -> Column:
     """Text without white space of any kind at either end (``trim`` removes blanks only)."""
     return F.regexp_replace(text, _EDGE_SPACE, "")

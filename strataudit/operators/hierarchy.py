@@ -3,23 +3,18 @@
 De-duplication happens before the joins: the newest application row and one row per child key give the
 rows that de-duplicating the joined product would give, without the product.
 
-The tables are checked for large records first. While every record is small, no join key can be heavy
-and three left joins are enough. AQE splits a left join on its left side only, so large records, which
-may have most of a child table under one key, take another way: at each level an inner join with the
-child on the left, plus the parents that the child lacks.
+One record may have most of a child table. AQE splits a left join on its left side only, so each level is an
+inner join with the child on the left, plus the parents that the child lacks: one way for records of all sizes.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strataudit.functions.columns import is_empty
-from strataudit.functions.spread import distinct_keys, first_per_key, having, lacking, unique_rows
+from strataudit.functions.spread import distinct_keys, first_per_key, lacking, unique_rows
 from strataudit.operators.filters import by_owner, by_records, children_of
-from strataudit.schemas import FIELD_KEYS, OBJECT_KEYS, ORPHAN_STORE, PART_LEAVES, STORE_KEYS
-from strataudit.session import shared_folder
+from strataudit.schemas import FIELD_KEYS, OBJECT_KEYS, ORPHAN_STORE, STORE_KEYS
 
 CHILD_COLUMNS = [
     "data_store_name", "data_store_id", "store_technology", "store_has_sensitive_data",
@@ -57,50 +52,23 @@ def unique_objects(objects: DataFrame) -> DataFrame:
     return unique_rows(objects, OBJECT_KEYS)
 
 
-def _kept(df: DataFrame) -> DataFrame | None:
-    """A small result as a table in the shared folder, or None if it has no rows.
+def record_parts(stores: DataFrame, objects: DataFrame, fields: DataFrame, part_leaves: int) -> DataFrame:
+    """Rows (record_id, n_parts, spread): how many parts of about ``part_leaves`` leaves each record with children has.
 
-    It is worked out once, survives the loss of executors, and its size is known to the planner.
-    """
-    spark = df.sparkSession
-    table = f"{shared_folder(spark)}/strataudit-large-{uuid.uuid4().hex}"
-    df.write.parquet(table)
-    kept = spark.read.schema(df.schema).parquet(table)
-    return None if kept.isEmpty() else kept
-
-
-def large_records(
-    stores: DataFrame, objects: DataFrame, fields: DataFrame, part_leaves: int = PART_LEAVES,
-) -> DataFrame | None:
-    """Records with more leaves than ``part_leaves``: (record_id, n_parts, spread), or None without any.
-
-    ``spread`` is above 1 where an object alone is too large. Counts include copies. A first job bounds
-    the leaves of each record from narrow columns, combined on the map side: an object counts once per
-    store that holds it, and fields as often as the most shared object. Only the records above the bound
-    are counted exactly.
+    ``spread`` is above 1 where an object alone is too large. Counts include copies; an object counts once per
+    store that holds it, with its fields. All counts are combined on the map side.
     """
     on = ["application_name", "object_id"]
     name = F.col("application_name")
     nothing = F.lit(0).cast("long")
     copies = objects.groupBy(*on).agg(F.count("*").alias("n"))
-    per_level = (
-        stores.groupBy(name).agg(F.count("*").alias("rows")).select(name, "rows", nothing.alias("fields"), nothing.alias("shared"))
-        .union(copies.groupBy(name).agg(F.sum("n"), F.max("n").alias("shared")).select(name, "sum(n)", nothing, "shared"))
-        .union(fields.groupBy(name).agg(F.count("*").alias("n")).select(name, nothing, "n", nothing)))
-    bound = per_level.groupBy(name).agg(
-        (F.sum("rows").cast("double") + F.sum("fields").cast("double") * F.greatest(F.max("shared"), F.lit(1))).alias("bound"))
-    candidates = _kept(bound.filter(F.col("bound") > part_leaves).select(name))
-    if candidates is None:
-        return None
-    stores, objects, fields = (having(t, candidates) for t in (stores, objects, fields))
     per_object = fields.groupBy(*on).agg(F.count("*").alias("fields"))
-    leaves = objects.select(*on).join(per_object, on, "left").select(
-        name, F.coalesce("fields", F.lit(0)).alias("widest"))
-    counted = leaves.select(name, (F.col("widest") + 1).alias("leaves"), "widest").union(
+    leaves = copies.join(per_object, on, "left").select(name, "n", F.coalesce("fields", nothing).alias("widest"))
+    counted = leaves.select(name, (F.col("n") * (F.col("widest") + 1)).alias("leaves"), "widest").union(
         stores.select(name, F.lit(1).cast("long"), nothing))
     parts_for = lambda n: F.greatest(F.ceil(n / F.lit(part_leaves)), F.lit(1)).cast("int")
-    return _kept(counted.groupBy(name.alias("record_id")).agg(
-        parts_for(F.sum("leaves")).alias("n_parts"), parts_for(F.max("widest")).alias("spread")).filter("n_parts > 1"))
+    return counted.groupBy(name.alias("record_id")).agg(
+        parts_for(F.sum("leaves")).alias("n_parts"), parts_for(F.max("widest")).alias("spread"))
 
 
 def _stores_by_record(stores: DataFrame) -> DataFrame:
@@ -126,35 +94,29 @@ def _in_orphan_store() -> Column:
     return F.col("data_store_id") == ORPHAN_STORE
 
 
-def _plain_joins(app: DataFrame, stores: DataFrame, objects: DataFrame, fields: DataFrame, orphans: bool) -> DataFrame:
-    store = _stores_by_record(stores)
-    if orphans:
-        lost = distinct_keys(objects.filter(_in_orphan_store()), record_id="application_name")
-        store = store.filter(~F.coalesce(_in_orphan_store(), F.lit(False))).unionByName(lost.select(
-            "record_id", F.lit(ORPHAN_STORE).alias("data_store_name"), F.lit(ORPHAN_STORE).alias("data_store_id")),
-            allowMissingColumns=True)
-    rows = (app.join(store, "record_id", "left")
-            .join(_objects_by_record(objects), ["record_id", "data_store_id"], "left")
-            .join(_fields_by_record(fields), ["record_id", "object_id"], "left"))
-    if orphans:
-        rows = rows.withColumn("store_technology", F.when(_in_orphan_store(), F.col("_technology"))
-                               .otherwise(F.col("store_technology")))
-    return rows
-
+def flat_join(
+    apps: DataFrame, stores: DataFrame, objects: DataFrame, fields: DataFrame, orphans: bool = True,
+) -> DataFrame:
+    """One row per application, store, object and field, newest snapshot only.
 
-def _spread_joins(app: DataFrame, stores: DataFrame, objects: DataFrame, fields: DataFrame, orphans: bool) -> DataFrame:
+    With ``orphans`` the objects that have no store follow under the synthetic store. Without it the
+    result is the plain left join of the four tables, which loses them.
+    """
+    app = latest_snapshot(apps)
+    if orphans:
+        objects = with_orphan_store(objects)
+        stores = stores.filter(~F.coalesce(F.col("store_id") == ORPHAN_STORE, F.lit(False)))
     obj = _objects_by_record(objects)
     object_keys = distinct_keys(objects, record_id="application_name", data_store_id="data_store_id")
     app_store = _stores_by_record(stores).join(app, "record_id")
     parents = distinct_keys(stores, record_id="application_name")
     placed = obj.drop("_technology").join(app_store, ["record_id", "data_store_id"])
     if orphans:
-        app_store = app_store.filter(~F.coalesce(_in_orphan_store(), F.lit(False)))
         lost = obj.filter(_in_orphan_store()).join(app, "record_id").withColumns({
             "data_store_name": F.lit(ORPHAN_STORE), "store_technology": F.col("_technology"),
             "store_has_sensitive_data": F.lit(None).cast("string"),
         }).drop("_technology")
-        placed = placed.filter(~_in_orphan_store()).unionByName(lost)
+        placed = placed.unionByName(lost)
         parents = parents.union(object_keys.filter(_in_orphan_store()).select("record_id")).distinct()
     rows = _fields_by_record(fields).join(placed, ["record_id", "object_id"])
     for level in (
@@ -163,31 +125,7 @@ def _spread_joins(app: DataFrame, stores: DataFrame, objects: DataFrame, fields:
         lacking(app, parents),
     ):
         rows = rows.unionByName(level, allowMissingColumns=True)
-    return rows
-
-
-def flat_join(
-    apps: DataFrame, stores: DataFrame, objects: DataFrame, fields: DataFrame, orphans: bool = True,
-    part_leaves: int = PART_LEAVES,
-) -> DataFrame:
-    """One row per application, store, object and field, newest snapshot only.
-
-    With ``orphans`` the objects that have no store follow under the synthetic store. Without it the
-    result is the plain left join of the four tables, which loses them.
-    """
-    app = latest_snapshot(apps)
-    if orphans:
-        objects = with_orphan_store(objects)
-    columns = [*app.columns, *CHILD_COLUMNS]
-    children = (stores, objects, fields)
-    large = large_records(*children, part_leaves)
-    if large is None:
-        return _plain_joins(app, *children, orphans).select(*columns)
-    ids = large.select("record_id")
-    child_ids = large.select(F.col("record_id").alias("application_name"))
-    small = _plain_joins(lacking(app, ids), *(lacking(c, child_ids) for c in children), orphans)
-    spread = _spread_joins(having(app, ids), *(having(c, child_ids) for c in children), orphans)
-    return small.select(*columns).unionByName(spread.select(*columns))
+    return rows.select(*app.columns, *CHILD_COLUMNS)
 
 
 def extract(

@@ -1,25 +1,23 @@
 """Record documents: stores, objects and fields nested under their application.
 
-A document is one row while it has at most ``part_leaves`` leaves. A larger record becomes ``n_parts``
-rows, ``part`` 0 to n-1, each a document of the same shape with some of the leaves; objects stay in one
-piece unless the record holds an object that is itself too large. Together the parts hold the whole
-record, so no record, however large, has to fit in one task.
-
-The flat product is never built. Records that fit one part are nested bottom-up by three groupings of
-unions, without a join or a window: copies of a key meet in one short array, whose first entry stays.
-Rows of larger records are joined to their parents to learn their part, brought to (record, part) in
-one shuffle and grouped there; every group is bounded because every part is.
+Every record is ``n_parts`` rows, ``part`` 0 to n-1, each a document of the same shape with about ``part_leaves`` of the
+leaves; a record of fewer leaves has one part. Objects stay in one piece unless the record holds an object that is
+itself too large. Together the parts hold the whole record, so no record, however large, has to fit in one task.
+
+The number of parts is a grouped count inside the plan, so all records go one way and no job runs before the result is
+asked for. Rows are joined to their parents to learn their part, brought to (record, part) in one shuffle and grouped
+there; every group is bounded because every part is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strataudit.functions.columns import sql_let, sql_to_bool, to_bool
-from strataudit.functions.spread import bucket_of, having, lacking
+from strataudit.functions.columns import to_bool
+from strataudit.functions.spread import bucket_of
 from strataudit.functions.struct_text import owner
 from strataudit.operators.hierarchy import (
-    large_records, latest_snapshot, unique_fields, unique_objects, unique_stores, with_orphan_store,
+    latest_snapshot, record_parts, unique_fields, unique_objects, unique_stores, with_orphan_store,
 )
 from strataudit.schemas import DOCUMENT, ORPHAN_STORE, PART_LEAVES
 
@@ -65,55 +63,18 @@ def _document() -> Column:
                     "head.stores_sensitive_data", "data_stores").cast(DOCUMENT)
 
 
-def _sorted_list(*columns: str) -> Column:
-    """Sorted array of the rows where the first of the columns is set."""
-    return F.sort_array(F.collect_list(F.when(F.col(columns[0]).isNotNull(), F.struct(*columns))))
-
-
-def _firsts(rows: str, key: str, value: str) -> Column:
-    """From a sorted array the first ``x`` of each key, as ``value``."""
-    return F.expr(sql_let("a", rows, f"transform(filter(a, (x, i) -> i = 0 OR get(a, i - 1).{key} <> x.{key}), x -> {value})"))
-
-
-def _nest_whole(head: DataFrame, stores: DataFrame, objects: DataFrame, fields: DataFrame) -> DataFrame:
-    """Documents of records that fit one part."""
-    record = F.col("application_name").alias("record_id")
-    described = ["object_name", "has_sensitive_data", "retention_days", "technology"]
-
-    # Fields and the objects that hold them, by object id; then the objects with their fields.
-    by_object = objects.select(record, "object_id", "data_store_id", *described).unionByName(
-        fields.select(record, "object_id", "field_name", "field_description", "field_type"), allowMissingColumns=True,
-    ).groupBy("record_id", "object_id").agg(
-        _sorted_list("data_store_id", *described).alias("o"),
-        _sorted_list("field_name", "field_description", "field_type").alias("f"))
-    whole_objects = by_object.select("record_id", "object_id", _firsts("f", "field_name", "x").alias("fields"),
-                                     F.inline("o")).withColumnRenamed("data_store_id", "store_id")
-
-    # Objects and their stores, by store id. An object whose store is missing is dropped.
-    listed = ["object_id", *described, "fields"]
-    by_store = stores.filter(F.col("store_id") != ORPHAN_STORE).select(
-        record, "store_id", F.struct("store_name", "technology", "has_sensitive_data").alias("store"),
-    ).unionByName(whole_objects.select("record_id", "store_id", *listed), allowMissingColumns=True,
-                  ).groupBy("record_id", "store_id").agg(F.min("store").alias("store"), _sorted_list(*listed).alias("o"))
-    data_objects = _firsts("o", "object_id", f"""named_struct('object_name', x.object_name, 'object_id', x.object_id,
-        'has_sensitive_data', {sql_to_bool('x.has_sensitive_data')}, 'retention_days', x.retention_days, 'fields', x.fields)""")
-    orphan = F.col("store_id") == ORPHAN_STORE
-    whole_stores = by_store.filter(F.col("store").isNotNull() | orphan).select(
-        "record_id", orphan.alias("last"), "store_id",
-        F.struct(F.when(orphan, ORPHAN_STORE).otherwise(F.col("store.store_name")).alias("store_name"), "store_id",
-                 F.when(orphan, F.expr("get(o, 0).technology")).otherwise(F.col("store.technology")).alias("technology"),
-                 to_bool(F.col("store.has_sensitive_data")).alias("has_sensitive_data"),
-                 data_objects.alias("data_objects")).alias("store"))
-
-    by_record = whole_stores.unionByName(head, allowMissingColumns=True).groupBy("record_id").agg(
-        F.max("head").alias("head"), _sorted_list("last", "store_id", "store")["store"].alias("data_stores"))
-    return by_record.filter("head IS NOT NULL").select(
-        "record_id", F.lit(0).alias("part"), F.lit(1).alias("n_parts"), _document().alias("doc"), "head.reviewer_group")
-
-
-def _nest_parts(head: DataFrame, stores: DataFrame, objects: DataFrame, fields: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Documents of large records, in the parts that ``sizes`` tells."""
-    head, store = (t.join(sizes, "record_id") for t in (head, _store_rows(stores, objects)))
+def nest(
+    apps: DataFrame, stores: DataFrame, objects: DataFrame, fields: DataFrame,
+    part_leaves: int = PART_LEAVES,
+) -> DataFrame:
+    """Rows (record_id, part, n_parts, doc, reviewer_group)."""
+    stores = stores.filter("application_name <> '' AND store_id <> ''")
+    objects = with_orphan_store(objects.filter("object_id <> ''"))
+    fields = fields.filter("application_name <> '' AND field_name <> ''")
+    sizes = record_parts(stores, objects, fields, part_leaves)
+    head = _headers(apps).join(sizes, "record_id", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
+    # Spread by the full key: the join below would else keep a record's objects in the one task of its size.
+    store = _store_rows(stores, objects).join(sizes, "record_id").repartition("record_id", "store_id")
 
     # Objects that have their store, with its header: it is needed in every part.
     placed = unique_objects(objects).select(
@@ -160,25 +121,6 @@ def _nest_parts(head: DataFrame, stores: DataFrame, objects: DataFrame, fields:
         "record_id", "part", "head.n_parts", _document().alias("doc"), "head.reviewer_group")
 
 
-def nest(
-    apps: DataFrame, stores: DataFrame, objects: DataFrame, fields: DataFrame,
-    part_leaves: int = PART_LEAVES,
-) -> DataFrame:
-    """Rows (record_id, part, n_parts, doc, reviewer_group)."""
-    head = _headers(apps)
-    stores = stores.filter("application_name <> '' AND store_id <> ''")
-    objects = with_orphan_store(objects.filter("object_id <> ''"))
-    fields = fields.filter("application_name <> '' AND field_name <> ''")
-    large = large_records(stores, objects, fields, part_leaves)
-    if large is None:
-        return _nest_whole(head, stores, objects, fields)
-    ids = large.select("record_id")
-    child_ids = large.select(F.col("record_id").alias("application_name"))
-    children = (stores, objects, fields)
-    small = _nest_whole(lacking(head, ids), *(lacking(c, child_ids) for c in children))
-    return small.unionByName(_nest_parts(head, *(having(c, child_ids) for c in children), large))
-
-
 def flat_from_documents(docs: DataFrame) -> DataFrame:
     """Documents back to one row per store, object and field (parts need not be merged first)."""
     store = docs.select("record_id", F.explode_outer("doc.data_stores").alias("s"))

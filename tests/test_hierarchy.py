@@ -3,6 +3,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from strataudit.operators import counts, filters, hierarchy as H
+from strataudit.operators.nesting import nest
 from strataudit.schemas import ORPHAN_STORE
 
 
@@ -18,22 +19,33 @@ def _volumes(make, n_apps, n_stores, n_objects, n_fields):
 
 
 def test_rows_are_the_product_of_the_levels(make):
-    for orphans, leaves in ((True, 50_000), (False, 50_000), (True, 10), (False, 10)):
-        flat = H.flat_join(*_volumes(make, 3, 2, 4, 5), orphans=orphans, part_leaves=leaves)
+    for orphans in (True, False):
+        flat = H.flat_join(*_volumes(make, 3, 2, 4, 5), orphans=orphans)
         assert flat.count() == 3 * 2 * 4 * 5
         assert {r.flat_rows for r in H.row_counts(flat).collect()} == {40}
 
 
-def test_large_records(make):
+def test_record_parts(make):
     stores = make.stores(*[("a", f"s{i}", "S", "t", "1") for i in range(3)], ("b", "s", "S", "t", "1"))
     objects = make.objects(*[("a", f"s{i}", "shared", "O", "1", "1") for i in range(3)], ("b", "s", "o", "O", "1", "1"))
     fields = make.fields(*[("a", "shared", f"f{i}", "d", "t") for i in range(20)], *[("b", "o", f"f{i}", "d", "t") for i in range(5)])
     # a has 3 stores, 3 objects and 3 times 20 fields; b has 1, 1 and 5.
-    size = lambda limit: {(r.record_id, r.n_parts, r.spread) for r in (H.large_records(stores, objects, fields, limit) or stores.limit(0)).collect()}
-    assert size(66) == set() and size(65) == {("a", 2, 1)} and size(8) == {("a", 9, 3)} and size(6) == {("a", 11, 4), ("b", 2, 1)}
+    size = lambda limit: {(r.record_id, r.n_parts, r.spread) for r in H.record_parts(stores, objects, fields, limit).collect()}
+    assert size(66) == {("a", 1, 1), ("b", 1, 1)} and size(65) == {("a", 2, 1), ("b", 1, 1)}
+    assert size(8) == {("a", 9, 3), ("b", 1, 1)} and size(6) == {("a", 11, 4), ("b", 2, 1)}
     apps = make.apps({"record_id": "a"}, {"record_id": "b"})
-    rows = lambda limit: sorted(map(str, H.flat_join(apps, stores, objects, fields, part_leaves=limit).collect()))
-    assert rows(65) == rows(6) == rows(50_000) and len(rows(6)) == 65
+    assert H.flat_join(apps, stores, objects, fields).count() == 65
+
+
+def test_no_job_runs_while_a_query_is_built(make, spark):
+    tables = _volumes(make, 2, 2, 2, 2)
+    spark.sparkContext.setJobGroup("build", "build")
+    try:
+        nest(*tables, part_leaves=3)
+        H.extract(*tables, logins=["x"])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_newest_snapshot_and_first_copy(make):
@@ -55,14 +67,13 @@ def test_orphans_dangling_and_bare_records(make):
     fields = make.fields(("lost", "o1", "f", "d", "t"), (None, None, "f", "d", "t"))
     rows = lambda **kw: {(r.record_id, r.data_store_id, r.store_technology, r.object_id, r.field_name)
                          for r in H.flat_join(apps, stores, objects, fields, **kw).collect()}
-    assert rows() == rows(part_leaves=1) == {
+    assert rows() == {
         ("lost", ORPHAN_STORE, "Warehouse", "o1", "f"), ("lost", ORPHAN_STORE, "Warehouse", "o2", None),
         ("full", "s", "t", "o3", None), ("full", "", "t", None, None), ("empty", "e", "t", None, None),
         ("bare", None, None, None, None)}
     assert [r.record_id for r in H.bare_records(apps, stores, objects).collect()] == ["bare"]
     plain = {(r[0], r[3]) for r in rows(orphans=False)}
     assert plain == {("lost", None), ("full", "o3"), ("full", None), ("empty", None), ("bare", None)}
-    assert rows(orphans=False) == rows(orphans=False, part_leaves=1)
 
 
 def test_filters(make, spark):
