@@ -30,6 +30,7 @@ def dataset_preflight(names: DataFrame, locations: dict[str, str]) -> DataFrame:
     probed = spark.createDataFrame(found, "dataset string, problem string").withColumn("known", F.lit(True))
     asked = names.select(F.col(names.columns[0]).alias("dataset")).distinct()
     bad_name: Column = ~F.coalesce(F.col("dataset").rlike(_NAME), F.lit(False))
+    # The two error texts.
     error = (F.when(bad_name, F.concat(F.lit("Invalid dataset name format: "), F.coalesce("dataset", F.lit(""))))
              .when(F.col("known").isNull(), F.concat(F.lit("Cannot access dataset "), "dataset"))
              .when(F.col("problem").isNotNull(), F.concat(F.lit("Cannot access dataset "), "dataset", F.lit(": "), "problem")))

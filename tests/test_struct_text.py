@@ -5,11 +5,10 @@ from strataudit.functions.columns import to_bool
 from strataudit.functions.struct_text import owner, struct_pairs
 
 CASES = {
-    "{name=alice, role=admin}": {"name": "alice", "role": "admin"},
-    "{owner={login=alice, level=6}}": {"owner.login": "alice", "owner.level": "6"},
-    "{tags=[a, b, c]}": {"tags[0]": "a", "tags[1]": "b", "tags[2]": "c"},
-    "{name=null}": {"name": None},
-    "{a={b={c=deep}}}": {"a.b.c": "deep"},
+    "{owner_login=FRANCE, metadata={team=BUILDING, level=3}, tags=[europe, a, null]}": {
+        "owner_login": "FRANCE", "metadata.team": "BUILDING", "metadata.level": "3", "tags[0]": "europe", "tags[1]": "a", "tags[2]": None},
+    "{one={two=2}, three=null, four={five={six=6}, seven=[7]}}": {
+        "one.two": "2", "three": None, "four.five.six": "6", "four.seven[0]": "7"},
     "": {}, "null": {}, " None ": {}, "{}": {},
     "{d=hello, world}": {"d": "hello"},
     "{a=1, a=2}": {"a": "2"},
