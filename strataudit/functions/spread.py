@@ -71,4 +71,6 @@ def collect_in_parts(df: DataFrame, keys: list[str], value: str, name: str, limi
     pairs = df.select(*keys, value).distinct()
     sizes = pairs.groupBy(*keys).agg(F.ceil(F.count(value) / F.lit(limit)).cast("int").alias("n_parts"))
     spread = pairs.join(sizes, keys).withColumn("part", bucket_of(F.greatest("n_parts", F.lit(1)), F.col(value)))
+    # without it the grouping would reuse the partitioning of the join, all parts of a key in one task
+    spread = spread.repartition(*keys, "n_parts", "part")
     return spread.groupBy(*keys, "n_parts", "part").agg(F.sort_array(F.collect_list(value)).alias(name))

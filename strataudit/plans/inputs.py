@@ -107,14 +107,18 @@ SELECT event_id, ts,
        CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('rev', CAST(event_id % 7 AS VARCHAR(9))) END AS reviewer,
        (event_id % 10 = 0) AS is_partial
 FROM @events""",
-    # Two reviews per order, and one per document that carries its whole text.
+    # Two reviews per order, one per document that carries its whole text, and one per region that says nothing.
     "reviews": _order_reviews(1) + "\nUNION ALL" + _order_reviews(2) + """
 UNION ALL
 SELECT concat('doc-', CAST(doc_id AS VARCHAR(20))) AS review_id, source AS record_id,
        CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS version,
        concat('## Gate 2: External Findings', chr(10), text, chr(10), '### Table: ', source, chr(10),
               '- [ ] Compare with scan [LOW]', chr(10)) AS content
-FROM @documents""",
+FROM @documents
+UNION ALL
+SELECT concat('blank-', CAST(r_regionkey AS VARCHAR(20))) AS review_id, r_name AS record_id, 1 AS version,
+       CASE WHEN r_regionkey % 2 = 0 THEN '  ' END AS content
+FROM @region""",
     "prior": """
 SELECT concat('Customer#', lpad(CAST(doc_id AS VARCHAR(20)), 9, '0')) AS record_id, text AS content
 FROM @documents""",

@@ -6,7 +6,7 @@ from strataudit.operators import reviews as R
 from strataudit.operators.rules import SENSITIVE_WORDS
 from strataudit.plans.inputs import sql_views
 from strataudit.plans.queries import (
-    LARGE_STORE_LIMIT, LOGINS, OUTLIER_LIMIT, OVERFLOW_LIMIT, SEARCH_TERM, TEMPLATE,
+    LARGE_STORE_LIMIT, LOGINS, OUTLIER_LIMIT, OVERFLOW_LIMIT, RECORD, SEARCH_TERM, TEMPLATE,
 )
 from strataudit.operators.prompts import CHECKLIST_ONLY, COMPARE, DATA_CLOSE, DATA_OPEN, PRIOR_CLOSE, PRIOR_OPEN
 from strataudit.schemas import LOGIN_COLUMNS
@@ -258,6 +258,18 @@ LEFT JOIN (SELECT review_id, gate, string_agg(table_name, '; ' ORDER BY position
 WHERE {where_gate}"""
 
 
+def _per_review() -> str:
+    return _base(SECTIONS, TABLE_NAMES, ITEMS, views=("reviews",)) + """
+SELECT r.review_id, r.record_id, r.version, CASE WHEN trim(coalesce(r.content, '')) = '' THEN 'InvalidParams' END AS error,
+       CAST(coalesce(i.n, 0) AS INTEGER) AS total_findings, coalesce(b.txt, '') AS affected_tables, coalesce(i.txt, '') AS action_items
+FROM fx_reviews r
+LEFT JOIN (SELECT review_id, count(*) AS n,
+           string_agg(concat_ws('|', severity, description, "table"), '; ' ORDER BY gate, kind, position) AS txt
+           FROM found WHERE gate BETWEEN 1 AND 5 GROUP BY review_id) i ON i.review_id = r.review_id
+LEFT JOIN (SELECT review_id, string_agg(table_name, '; ' ORDER BY table_name) AS txt FROM
+           (SELECT DISTINCT review_id, table_name FROM tabs WHERE gate BETWEEN 1 AND 5) GROUP BY review_id) b ON b.review_id = r.review_id"""
+
+
 # Rules
 
 def _rule(gate: int, rule: str, severity: str, body: str, store: str = "NULL", obj: str = "NULL", field: str = "NULL",
@@ -439,10 +451,14 @@ def oracle_sql() -> dict[str, str]:
             strlen(doc_text) > {OVERFLOW_LIMIT} AS is_overflow, last_updated FROM merged""",
         "lookup_exact": _base(_app(), CHILDREN, _documents(), views=(*FOUR, "lookups"))
         + f"SELECT {doc_columns} FROM docs WHERE record_id IN (SELECT record_id FROM fx_lookups WHERE NOT is_partial)",
+        "lookup_single": docs + f"SELECT {doc_columns} FROM docs WHERE record_id = '{RECORD}'",
         "lookup_partial": docs + f"SELECT {doc_columns} FROM docs WHERE contains(lower(record_id), lower('{SEARCH_TERM}'))",
         "overflow_read": _base(_app(), CHILDREN, _documents(), _dumps(None, name="texts2"))
         + f"""SELECT d.*, strlen(t.doc_text) > {OVERFLOW_LIMIT} AS is_overflow FROM
             (SELECT {doc_columns} FROM docs) d JOIN texts2 t USING (record_id)""",
+        "overflow_json_read": _base(_app(), CHILDREN, _documents(), _dumps(None, name="texts2"))
+        + f"""SELECT d.*, strlen(t.doc_text) > {OVERFLOW_LIMIT} AS is_overflow, CAST(NULL AS VARCHAR) AS error FROM
+            (SELECT {doc_columns} FROM docs) d JOIN texts2 t USING (record_id)""",
         "stats_count": apps_only + "SELECT count(DISTINCT record_id) AS count FROM fx_apps",
         "stats_list": apps_only + "SELECT DISTINCT record_id FROM fx_apps ORDER BY record_id",
         "stats_cache": texts + f"""SELECT count(*) AS total_cached, count(*) FILTER ({OVER}) AS overflow_items,
@@ -499,6 +515,7 @@ def oracle_sql() -> dict[str, str]:
         "checklist_items": items + "SELECT * FROM checklist",
         "findings_summary": _summary("true", "true", "true"),
         "findings_filtered": _summary("lower(\"table\") = 'users'", "lower(table_name) = 'users'", "t.gate_number = 3"),
+        "findings_per_review": _per_review(),
         "review_delta": items + """SELECT record_id, gate, "table", description,
             count(*) FILTER (version = 2) AS current_count, count(*) FILTER (version = 1) AS prior_count,
             CASE WHEN count(*) FILTER (version = 1) = 0 THEN 'new' WHEN count(*) FILTER (version = 2) = 0 THEN 'resolved'

@@ -9,11 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataudit.functions.columns import to_bool
+from strataudit.functions.json_text import json_dumps
 from strataudit.functions.struct_text import owner, struct_pairs
 from strataudit.functions.versions import compare_versions
 from strataudit.operators import cache, counts, filters, hierarchy, prompts, reports, requests, reviews, rules, usage
 from strataudit.operators.nesting import flat_from_documents, nest
 from strataudit.plans.inputs import Inputs
+from strataudit.schemas import DOCUMENT
 from strataudit.session import shared_folder
 from strataudit.sources import integrity, preflight, snapshots
 from strataudit.streaming import usage as stream
@@ -24,6 +26,7 @@ OUTLIER_LIMIT = 60
 LARGE_STORE_LIMIT = 6
 LOGINS = ["FRANCE", "ASIA", "BUILDING"]
 SEARCH_TERM = "R#00000012"
+RECORD = "Customer#000000121"
 TEMPLATE = "Review this record.\n"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,6 +206,10 @@ def lookup_exact(t: Inputs) -> DataFrame:
     return _doc_json(cache.lookup(stored_cache(t), t.view("lookups").filter("NOT is_partial").select("record_id")))
 
 
+def lookup_single(t: Inputs) -> DataFrame:
+    return _doc_json(cache.lookup(stored_cache(t), [RECORD]))
+
+
 def lookup_partial(t: Inputs) -> DataFrame:
     return _doc_json(cache.search(stored_cache(t), SEARCH_TERM))
 
@@ -212,6 +219,12 @@ def overflow_read(t: Inputs) -> DataFrame:
     return _doc_json(stored_cache(t), "is_overflow")
 
 
+def overflow_json_read(t: Inputs) -> DataFrame:
+    """All documents, written as JSON text and read again."""
+    bodies = stored_cache(t).withColumn("body", json_dumps("doc", DOCUMENT)).drop("doc")
+    return _doc_json(snapshots.read_json_documents(bodies), "is_overflow", "error")
+
+
 def stats_count(t: Inputs) -> DataFrame:
     return cache.statistics("count", stored_cache(t))
 
@@ -324,6 +337,13 @@ def findings_filtered(t: Inputs) -> DataFrame:
     return reviews.gate_summary(reviews.gate_findings(t.view("reviews"), gate=3, table="USERS"))
 
 
+def findings_per_review(t: Inputs) -> DataFrame:
+    found = reviews.findings(t.view("reviews"))
+    items = F.expr("array_join(transform(action_items, it -> concat_ws('|', it.severity, it.description, it.table)), '; ')")
+    return found.select("review_id", "record_id", "version", "error", "total_findings",
+                        F.array_join(F.array_sort("affected_tables"), "; ").alias("affected_tables"), items.alias("action_items"))
+
+
 def review_delta(t: Inputs) -> DataFrame:
     found = reviews.items(t.view("reviews"))
     return reviews.delta(found.filter("version = 2"), found.filter("version = 1"))
@@ -342,12 +362,12 @@ ALL: list[Callable[[Inputs], DataFrame]] = [
     owner_extract_join, filter_records, filter_owner_hierarchy, filter_owner_table, filter_records_and_owner,
     distinct_record_ids, filter_children, objects_of_store, object_counts, outlier_records, large_stores,
     extraction_summary, nest_records, nest_large_records, normalise_booleans, struct_text_pairs, owner_extract,
-    record_sizes, record_sizes_in_parts, overflow_split, dry_run_report, cache_upsert, lookup_exact, lookup_partial,
-    overflow_read, stats_count, stats_list, stats_cache, stats_usage, stats_reviewer_groups, request_outcomes,
+    record_sizes, record_sizes_in_parts, overflow_split, dry_run_report, cache_upsert, lookup_exact, lookup_single,
+    lookup_partial, overflow_read, overflow_json_read, stats_count, stats_list, stats_cache, stats_usage, stats_reviewer_groups, request_outcomes,
     usage_counters, usage_counters_stream, usage_reviewers, usage_reviewer_hits, usage_daily, usage_ranking,
     never_reviewed, version_lookup, version_compare, client_version_status, report_names, review_prompts,
-    gate_sections, gate_tables, action_items, checklist_items, findings_summary, findings_filtered, review_delta,
-    gate_rule_checks, external_crossref, integrity_report, dataset_preflight,
+    gate_sections, gate_tables, action_items, checklist_items, findings_summary, findings_filtered, findings_per_review,
+    review_delta, gate_rule_checks, external_crossref, integrity_report, dataset_preflight,
 ]
 
 

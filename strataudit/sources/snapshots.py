@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from strataudit.schemas import DOCUMENT
 
 _LOG = "version int, written timestamp"
 
@@ -47,3 +49,15 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
         raise FileNotFoundError(f"no snapshot under {root}")
     rows = spark.read.parquet(f"{root}/version={version}")
     return rows.withColumn("is_overflow", F.col("is_overflow").cast("boolean"))
+
+
+def read_json_documents(bodies: DataFrame) -> DataFrame:
+    """``bodies`` (body, more) with ``doc`` and ``error`` for ``body``, the JSON text of one document.
+
+    Text that is no such document keeps its row: its doc is null and the text stands in ``error``. A null body gives neither.
+    """
+    schema = T.StructType([*DOCUMENT.fields, T.StructField("_bad", T.StringType())])
+    read = bodies.withColumn("_read", F.from_json("body", schema, {"columnNameOfCorruptRecord": "_bad"}))
+    good = F.col("_read").isNotNull() & F.col("_read._bad").isNull()
+    doc = F.struct(*[F.col(f"_read.{f.name}") for f in DOCUMENT.fields])
+    return read.withColumns({"doc": F.when(good, doc), "error": F.when(~good, F.col("body"))}).drop("_read", "body")

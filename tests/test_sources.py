@@ -1,5 +1,5 @@
 from strataudit.operators import rules
-from strataudit.sources import integrity, preflight
+from strataudit.sources import integrity, preflight, snapshots
 
 
 def test_preflight(spark, tmp_path):
@@ -44,3 +44,11 @@ def test_rules(make, spark):
                                  "application_name string, store_id string, detected_sensitive boolean")
     got = {(r.application_name, r.store_id, r.issue) for r in rules.crossref(stores, seen).collect()}
     assert got == {("a", "s", "contradicted"), ("b", "new", "missing_store")}
+
+
+def test_json_documents(spark):
+    good = '{"record_id": "a", "description": "x", "owner": null, "data_stores": [{"store_id": "s", "data_objects": []}]}'
+    rows = [("a", good), ("b", '{"record_id": "b", '), ("c", "no json"), ("d", ""), ("e", None)]
+    got = {r.record_id: r for r in snapshots.read_json_documents(spark.createDataFrame(rows, "record_id string, body string")).collect()}
+    assert got["a"].error is None and got["a"].doc.description == "x" and got["a"].doc.data_stores[0].store_id == "s"
+    assert all((got[k].doc, got[k].error) == (None, body) for k, body in rows[1:])
