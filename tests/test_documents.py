@@ -139,7 +139,7 @@ def test_search_takes_wildcards_literally(spark):
 
 def test_prompts(make, spark):
     docs = nest(make.apps({"record_id": "a"}, {"record_id": "b"}), make.stores(), make.objects(), make.fields())
-    prior = spark.createDataFrame([("a", "earlier"), ("b", "")], "record_id string, content string")
+    prior = spark.createDataFrame([("a", "aged", 1), ("a", "later", 2), ("a", "earlier", 2), ("b", "", 1)], "record_id string, content string, version int")
     data = {r.record_id: json.dumps(r.doc.asDict(True), indent=2) for r in docs.collect()}
     got = {r.record_id: r for r in prompts.prompts(docs, "T", prior, True).collect()}
     block = "T\n\n--- ATTESTATION DATA ---\n%s\n--- END ATTESTATION DATA ---\n"

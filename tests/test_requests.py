@@ -118,3 +118,15 @@ def test_collect_in_parts(spark):
     assert len(hot) == 3 and sorted(v for r in hot for v in r.vs) == sorted(map(str, range(300)))
     cool = [r for r in parts if r.k == "cool"]
     assert len(cool) == 1 and len(cool[0].vs) == 100 and cool[0].vs == sorted(cool[0].vs)
+
+
+def test_parts_of_a_hot_key_go_to_several_tasks(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(500).select((F.col("id") % 2).alias("k"), F.col("id").cast("string").alias("v"))
+        plan = collect_in_parts(rows, ["k"], "v", "vs", 100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[:plan.index("SortMergeJoin")]
+    exchange = next(line for line in above.splitlines() if "Exchange hashpartitioning" in line)
+    assert "n_parts" in exchange and "part#" in exchange
