@@ -1,7 +1,9 @@
-"""Approximate nearest neighbours by cosine: several shifted Hilbert curves through projected vectors.
+"""Nearest neighbours by cosine: several shifted Hilbert curves through projected vectors, then a pass that holds the bound.
 
-Each curve puts all vectors in one order. A query looks at the blocks of the order round its own place, and the best of all
-curves are ranked by the exact measure. Equal vectors are one entry of the index, with the ids that can be asked for.
+Each curve puts all vectors in one order. A query looks at the blocks of the order round its own place; the last of the best
+of all curves is a score that no true neighbour falls below. One pass over the whole index keeps what reaches it, so
+the result does not depend on the curves, only the work does. Equal vectors are one entry of the index, with the ids that
+can be asked for.
 """
 
 from __future__ import annotations
@@ -107,12 +109,74 @@ def _moments(index: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
     return n, mean, sum(np.frombuffer(r.q) for r in rows).reshape(len(mean), -1) / n - np.outer(mean, mean)
 
 
+def above(index: DataFrame, bounded: DataFrame, k: int, at_once: int) -> DataFrame:
+    """Rows (me, other, score): entries of ``index`` (rep, v) that can be among the ``k`` best of ``bounded`` (me, v, least).
+
+    Every entry is measured against every query, ``at_once`` queries a pass, by products of matrices in four-byte floats; what
+    comes near the bound is measured again in eight bytes. A query without a bound (null) takes all. Each task sends the
+    ``k`` best of a query, ties by the smaller id, and raises the bound as it goes.
+    """
+    spark, slack = index.sparkSession, 1e-5
+    n = bounded.count()
+    passes = max(1, -(-n // at_once))
+    dealt = bounded.withColumn("pass", F.pmod(F.xxhash64("me"), F.lit(passes))) if passes > 1 else bounded.withColumn("pass", F.lit(0))
+
+    def scan(held):
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            me, least, y = held.value
+            least, best = least.copy(), [[] for _ in me]
+            norm = np.sqrt(np.einsum("ij,ij->i", y, y))
+            unit = (y / norm[:, None]).astype("<f4")
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, x = np.array(batch.column(0).to_pylist(), dtype=np.int64), _matrix(batch.column(1))
+                size = np.sqrt(np.einsum("ij,ij->i", x, x))
+                short = (x / size[:, None]).astype("<f4")
+                for low in range(0, len(me), 512):
+                    rows, cols = np.nonzero(unit[low:low + 512] @ short.T >= (least[low:low + 512] - slack)[:, None])
+                    rows += low
+                    score = np.empty(len(rows))
+                    for j in range(0, len(rows), 8192):
+                        r, c = rows[j:j + 8192], cols[j:j + 8192]
+                        score[j:j + 8192] = np.einsum("ij,ij->i", y[r], x[c]) / (norm[r] * size[c])
+                    order = np.lexsort((ids[cols], -score, rows))
+                    rows, cols, score = rows[order], cols[order], score[order]
+                    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+                    place = np.arange(len(rows)) - np.repeat(starts, np.diff(starts, append=len(rows)))
+                    for q, i, s in zip(rows[place < k].tolist(), ids[cols[place < k]].tolist(), score[place < k].tolist()):
+                        best[q].append((-s, i))
+                    for q in rows[starts].tolist():
+                        best[q] = sorted(best[q])[:k]
+                        if len(best[q]) == k:
+                            least[q] = max(least[q], -best[q][-1][0])
+            out = [(int(me[q]), i, -s) for q, found in enumerate(best) for s, i in found]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["me", "other", "score"])
+
+        return part
+
+    found = None
+    for number in range(passes):
+        rows = dealt.filter(F.col("pass") == number).select("me", "least", "v").collect()
+        if not rows and passes > 1:
+            continue
+        least = np.array([-np.inf if r.least is None else r.least for r in rows])
+        width = len(rows[0].v) // 8 if rows else 1
+        held = spark.sparkContext.broadcast((np.array([r.me for r in rows], dtype=np.int64), least,
+                                             np.frombuffer(b"".join(r.v for r in rows), dtype="<f8").reshape(-1, width)))
+        made = work_table(index.select("rep", "v").mapInArrow(scan(held), "me bigint, other bigint, score double"), "above")
+        held.unpersist()
+        found = made if found is None else found.unionByName(made)
+    return found
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, curves: int = 24, dims: int = 12, bits: int = 5, kept: int = 32,
-           block: int = 1024, range_rows: int = 200_000) -> DataFrame:
+           block: int = 1024, range_rows: int = 200_000, at_once: int = 8192) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each of ``queries`` (vec_id) the ``k`` nearest others by cosine.
 
-    All vectors that take part are indexed and all of them can be found. On each curve a query sees its block of ``block`` entries
-    and the two next to it. Ties go to the smaller id; with fewer candidates all are returned. Queries that take no part
+    All vectors that take part are indexed and the true neighbours are found. On each curve a query sees its block of ``block``
+    entries and the two next to it, which gives the bound for the pass over all entries (``above``). Ties go to the smaller id; with fewer candidates all are returned. Queries that take no part
     give no rows, repeated rows count once, other columns are not read.
     """
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -195,8 +259,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, curves: int = 24,
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], names=["me", "other", "ids", "score"])
 
     scored = met.mapInArrow(measure, "me bigint, other bigint, ids array<bigint>, score double")
+    seen = F.sort_array(F.collect_list("score"), asc=False)
+    least = scored.select("me", "other", "score").groupBy("me").agg(F.when(F.count("*") > k, F.get(seen, F.lit(k))).alias("least"))
+    bounded = work_table(least.join(index.select(F.col("rep").alias("me"), "v"), "me"), "bounds")
     order = Window.partitionBy("me").orderBy(F.desc("score"), "other")
-    short = scored.withColumn("row", F.row_number().over(order)).filter(F.col("row") <= k + 1)
+    short = above(index, bounded, k + 1, at_once).withColumn("row", F.row_number().over(order)).filter(F.col("row") <= k + 1)
+    short = short.join(index.select(F.col("rep").alias("other"), "ids"), "other")
     lists = short.groupBy("me").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     options = asked.join(lists, asked["rep"] == lists["me"]).select("query_id", F.explode("near").alias("x")).select(
         "query_id", "x.score", F.explode("x.ids").alias("vec_id")).filter("vec_id <> query_id")

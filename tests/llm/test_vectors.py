@@ -39,6 +39,16 @@ def test_ties_repeats_and_vectors_that_take_no_part(spark):
     assert neighbours.search(df.filter("false"), df.select("vec_id")).count() == 0
 
 
+def test_all_true_neighbours_when_a_query_sees_few_entries(spark):
+    table = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    found = neighbours.search(df, df.filter("vec_id % 50 = 0"), curves=2, block=8, at_once=16)  # at most 48 of the 2,000 places
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute(table, [i for i, _ in table if i % 50 == 0])
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array(np.meshgrid(*[np.arange(8)] * 3)).reshape(3, -1).T
     order = cells[np.argsort(neighbours.hilbert_keys(cells, 3))]
