@@ -6,10 +6,12 @@ import itertools
 import random
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -110,6 +112,21 @@ def test_jaccard_against_brute_force(docs):
     assert set(rows(jaccard.near_duplicates(docs(*pairs)), "doc_id", "n_shingles", "component_id")) == brute(pairs)
 
 
+def test_shared_counts_are_no_less_than_the_truth_in_any_arrival_order(docs, monkeypatch):
+    words = [f"w{k}" for k in range(104)]
+    whole, partner = " ".join(words), " ".join(words[:84] + [f"p{k}" for k in range(20)])
+    parts = []  # a portion each: copies of one set beside another passage of it
+    for k in range(4):
+        parts.append(docs(whole, " ".join([f"q{k}", *words[21 * k:21 * k + 21], f"q{k}"])).coalesce(1))
+    parts.append(docs(partner))
+    digest, frame = jaccard._digest(jaccard.shingle_sets([whole])[0]), type(parts[0])
+    deal = frame.repartition
+    for order in (F.desc(F.length("loose")), F.asc(F.length("loose"))):
+        monkeypatch.setattr(frame, "repartition", lambda self, *a: deal(self, *a).sortWithinPartitions(order))
+        found = jaccard.shared_counts(reduce(DataFrame.unionByName, parts), 12).collect()
+        assert {bytes(r.digest): r.shared for r in found}[digest] >= 80
+
+
 def test_blocks_of_a_group_lose_no_link(spark, docs):
     words = [f"w{k}" for k in range(80)]
     texts = [" ".join(words[:80 - k // 3]) + f" e{k}" for k in range(60)]
