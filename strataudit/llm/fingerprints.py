@@ -71,8 +71,9 @@ def within(fingerprinted: DataFrame, radius: int = 3, blocks: int = 8) -> DataFr
 
 
 def with_next(docs: DataFrame, rows_per_range: int = 20_000) -> DataFrame:
-    """``docs`` (doc_id, text, n) with ``next_id`` and ``next_text`` of the next row by doc_id, after the last the first.
+    """``docs`` (doc_id, text) with ``next_id`` and ``next_text`` of the next row by doc_id, after the last the first, and ``row``.
 
+    ``row`` numbers the rows of a range; with doc_id it tells all rows apart, as a doc_id is in one range.
     Rows are dealt to ranges of doc_id at percentiles; inside a range ``lead`` gives the next row, and the last row of
     a range gets the first row of the next one, of which there is one a range.
     """
@@ -85,14 +86,14 @@ def with_next(docs: DataFrame, rows_per_range: int = 20_000) -> DataFrame:
         place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))), F.lit(0))
     ranged = docs.withColumn("range", place)
     order = Window.partitionBy("range").orderBy("doc_id", "text")  # equal rows stay rows: each has its own next
-    led = ranged.withColumns({"next_text": F.lead("text").over(order), "next_id": F.lead("doc_id").over(order),
+    led = ranged.withColumns({"row": F.row_number().over(order), "next_text": F.lead("text").over(order), "next_id": F.lead("doc_id").over(order),
                               "last": F.lead(F.lit(1)).over(order).isNull()})
     firsts = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("first"))
     every = Window.orderBy("range")
     after = firsts.select("range", F.coalesce(F.lead("first").over(every), F.first("first").over(
         every.rowsBetween(Window.unboundedPreceding, 0))).alias("after"))
     return led.join(after, "range").select(
-        "doc_id", "text", F.when(F.col("last"), F.col("after.doc_id")).otherwise(F.col("next_id")).alias("next_id"),
+        "doc_id", "text", "row", F.when(F.col("last"), F.col("after.doc_id")).otherwise(F.col("next_id")).alias("next_id"),
         F.when(F.col("last"), F.col("after.text")).otherwise(F.col("next_text")).alias("next_text"))
 
 
@@ -108,10 +109,10 @@ def compare(docs: DataFrame) -> DataFrame:
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter))
     rows = with_next(texts).select(
-        "doc_id", F.xxhash64("text").alias("hash"), "next_id", F.xxhash64("next_text").alias("next_hash"), n.cast("bigint").alias("n_chars"),
+        "doc_id", "row", F.xxhash64("text").alias("hash"), "next_id", F.xxhash64("next_text").alias("next_hash"), n.cast("bigint").alias("n_chars"),
         F.sha2(edited, 256).alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text")),
                                                                      F.struct(F.lit(1).alias("v"), edited.alias("text")))).alias("t"))
-    keys = ["doc_id", "hash", "next_id", "next_hash", "n_chars", "edited_sha256"]
+    keys = ["doc_id", "row", "hash", "next_id", "next_hash", "n_chars", "edited_sha256"]
     found = fingerprints(rows.select(*keys, "t.v", "t.text"), [*keys, "v"])
     both = found.groupBy(*keys).agg(F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("fingerprint"),
                                     F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))

@@ -274,6 +274,11 @@ def test_fingerprints_compare_edited_and_next(docs):
     assert fingerprints.compare(docs((1, "a"), (1, "a"), (None, "b"))).count() == 3
 
 
+def test_fingerprints_of_equal_rows_are_a_row_each(docs):
+    assert fingerprints.compare(docs((1, "a b"), (1, "a b"), (1, "a b"))).count() == 3
+    assert fingerprints.compare(docs(*[(k // 4, "a b c d") for k in range(20)], (None, "x"), (None, "x"), (None, None))).count() == 23
+
+
 def test_ranges_of_ids_give_the_next_row(docs):
     found = fingerprints.with_next(docs(*[(10 * k, f"t{k}") for k in range(50)]), rows_per_range=7)
     assert {r.doc_id: r.next_id for r in found.collect()} == {10 * k: 10 * ((k + 1) % 50) for k in range(50)}
