@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataudit.llm import content, fingerprints, jaccard, neighbours, packing, quality, secrets, sequences, subwords, tokens, urls
-from strataudit.session import work_table
+from strataudit.session import work_path, work_table
 
 CAPACITY = 4096
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -33,10 +33,17 @@ def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_table(spark, folder, "pages"), URL_RULES)
 
 
-def op3_training_order(spark: SparkSession, folder: str) -> DataFrame:
-    stored = work_table(sequences.cut(_table(spark, folder, "documents"), TOKENIZER, SEQUENCE), "sequences")
-    ordered = sequences.in_training_order(stored, "training order", SHARD, SEQUENCE)
-    return ordered.select("slot", "shard", "offset", "n_ids", "doc_ids", F.crc32("ids").alias("ids_crc32"))
+def op3_training_order(spark: SparkSession, folder: str, to: str | None = None) -> DataFrame:
+    """Writes the shards to ``to`` (a folder of the session if not given); the rows are their manifest, places and digests read back from the files."""
+    stored = work_table(sequences.squeezed(sequences.cut(_table(spark, folder, "documents"), TOKENIZER, SEQUENCE)), "sequences")
+    path = to or work_path(spark, "shards")
+    ordered = sequences.in_training_order(stored.select("part", "number", "ids"), "training order", SHARD, SEQUENCE)
+    sequences.write_shards(sequences.plain(ordered), path)
+    stride = 2 * SEQUENCE + len(sequences.TERMINATOR)
+    written = sequences.read_shards(spark, path, SEQUENCE).select((F.col("shard") * SHARD + F.col("place")).alias("slot"), "shard", (
+        F.col("place").cast("bigint") * stride).alias("offset"), F.crc32("ids").alias("ids_crc32"))
+    known = sequences.in_training_order(stored.select("part", "number", "n_ids", "doc_ids"), "training order", SHARD, SEQUENCE).drop("shard", "offset")
+    return known.join(written, "slot", "left").select("slot", "shard", "offset", "n_ids", "doc_ids", "ids_crc32")
 
 
 def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:

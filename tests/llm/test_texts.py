@@ -5,6 +5,7 @@ import html
 import itertools
 import random
 import re
+import zlib
 from collections import Counter
 from functools import reduce
 
@@ -246,6 +247,18 @@ def test_shards_hold_all_ids_in_slots(spark, docs):
     assert sequences.in_training_order(work_table(sequences.cut(docs(), queries.TOKENIZER, 8), "s"), "k", 10, 8).count() == 0
 
 
+def test_training_order_writes_the_shards_of_its_manifest(spark):
+    path, width = work_path(spark, "shards"), 2 * queries.SEQUENCE
+    found = queries.op3_training_order(spark, FOLDER, path).collect()
+    files = {r.shard: bytes(r.content) for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("bigint").alias("shard"), "content").collect()}
+    stored = work_table(sequences.cut(spark.read.parquet(f"{FOLDER}/documents.parquet"), queries.TOKENIZER, queries.SEQUENCE), "sequences")
+    want = {r.slot: bytes(r.ids) for r in sequences.in_training_order(stored, "training order", queries.SHARD, queries.SEQUENCE).collect()}
+    assert sorted(r.slot for r in found) == sorted(want) and sum(map(len, files.values())) == len(want) * (width + 1)
+    for r in found:
+        assert files[r.shard][r.offset:r.offset + width] == want[r.slot] and zlib.crc32(want[r.slot]) == r.ids_crc32
+
+
 # Subwords
 
 def test_subwords_equal_the_library_and_decode_to_the_text(docs):
