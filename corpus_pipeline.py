@@ -8,6 +8,9 @@ from strataudit.llm import jaccard, quality, secrets
 from strataudit.llm.queries import ACCEPTED, packed
 from strataudit.session import work_table
 
+#: A column for the time of one stage.
+PLACE = "place of the row"
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. Labels are read from ``labels``, without the held-out ones."""
@@ -16,9 +19,23 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of linked documents; rows without a doc_id stay."""
-    copies = jaccard.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of linked documents: the one with the smallest doc_id, then text hash; nulls come last.
+
+    Rows are told apart by doc_id and text, so a doc_id that is repeated with other texts does no harm. Of equal rows one
+    stays. Texts without words are in no group and all stay.
+    """
+    judged = work_table(jaccard.judged(docs).filter("node is not null").select("node", "doc_id", "place"), "judged")
+    first = judged.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("first"))
+    other = ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.place") == F.col("place")))
+    copies = judged.join(first, "node").filter(other).select("doc_id", "place").distinct()
+    repeated = judged.groupBy("doc_id", "place").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id", "place")
+
+    def meets(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        return rows.join(some, (rows[PLACE] == some["place"]) & rows["doc_id"].eqNullSafe(some["doc_id"]), how)
+
+    kept = meets(docs.withColumn(PLACE, jaccard.row_place()), copies, "left_anti")
+    return meets(kept, repeated, "left_anti").unionByName(
+        meets(kept, repeated, "left_semi").dropDuplicates(["doc_id", PLACE])).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

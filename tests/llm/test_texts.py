@@ -145,6 +145,15 @@ def test_jaccard_of_nothing_repeats_and_clashing_columns(docs, clashing, spark):
     assert sorted(map(repr, rows(twice, "doc_id", "component_id"))) == sorted(map(repr, [(7, 7), (7, 7), (None, 7), (None, None)]))
 
 
+def test_rows_that_repeat_a_doc_id_are_judged_and_kept_by_their_own_text(docs, spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    table = docs((1, one), (5, one + " x"), (5, two), (6, three), (5, three + " y"), (None, three + " z"), (8, "p q r"), (8, "p q r"), (9, None), (9, ""))
+    found = Counter(rows(jaccard.near_duplicates(table), "doc_id", "component_id"))
+    assert found == Counter([(1, 1), (5, 1), (5, 5), (6, 5), (5, 5), (None, 5), (8, 8), (8, 8), (9, 9), (9, 9)])
+    kept = Counter(rows(corpus_pipeline.one_of_each(spark, table, ""), "doc_id", "text"))
+    assert kept == Counter([(1, one), (5, two), (5, three + " y"), (8, "p q r"), (9, None), (9, "")])
+
+
 # Secret scans
 
 def test_base_spans_are_leftmost_whole_matches():
