@@ -21,15 +21,18 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.ASCII)
 WINDOW = 20
 #: Least entropy, in bits a character, of a window by the class of its characters.
 THRESHOLDS = {"hex": 3.0, "alphanumeric": 3.7, "base64": 3.7}
-#: What is never a secret: samples and placeholders, uuids, words joined by hyphens, underscores or slashes, plain words.
+#: What is never a secret: uuids, words joined by hyphens, underscores or slashes, plain words. Words are in one case, capitalised or
+#: in camel case with parts of three letters and more, as keys of letters only are not.
 ALLOW = tuple(re.compile(p, re.ASCII) for p in (
-    r"(?i).*(example|sample|placeholder|changeme|dummy|redacted).*",
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"[A-Za-z]+([-_/=+]+[A-Za-z]+)*[-_/=+]*",
+    r"[-_/=+]*({0})([-_/=+]+({0}))*[-_/=+]*".format(r"[a-z]+|[A-Z]+|[a-z]*([A-Z][a-z]{2,})+|[A-Z][a-z]?"),
     r"(/?[a-z]+[-_/]|/?[a-z]*[0-9]{1,4}[-_/])+([a-z]+|[0-9]{1,4})?",
     r"[0-9+/_=-]*",
 ))
-_STEP = [n * log2(n) if n else 0.0 for n in range(WINDOW + 1)]
+#: Samples and placeholders: the part between / and = that has such a word is no secret, the parts beside it are judged.
+SAMPLE = re.compile(r"example|sample|placeholder|changeme|dummy|redacted", re.IGNORECASE | re.ASCII)
+PART = re.compile(r"[^/=]+")
+_STEP = [n * log2(n) if n else 0.0 for n in range(WINDOW + 2)]
 
 
 def character_class(text: str) -> str:
@@ -78,6 +81,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def unbroken(text: str) -> Iterator[tuple[int, str]]:
+    """(start, string) of what windows are measured in: unbroken strings, cut where samples and placeholders stand."""
+    for m in CANDIDATE.finditer(text):
+        at = 0
+        if SAMPLE.search(m[0]):
+            for part in PART.finditer(m[0]):
+                if SAMPLE.search(part[0]):
+                    yield m.start() + at, m[0][at:part.start()]
+                    at = part.end()
+        yield m.start() + at, m[0][at:]
+
+
 def secret_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, end exclusive, by start, then kind in the order of ``KINDS``.
 
@@ -85,10 +100,10 @@ def secret_spans(text: str) -> list[tuple[int, int, str]]:
     spans are added unless an allow-listed form covers the string or a base span covers them.
     """
     found = base_spans(text)
-    for m in CANDIDATE.finditer(text):
-        if not any(a.fullmatch(m[0]) for a in ALLOW):
-            for start, end in entropy_spans(m[0]):
-                start, end = start + m.start(), end + m.start()
+    for first, string in unbroken(text):
+        if not any(a.fullmatch(string) for a in ALLOW):
+            for start, end in entropy_spans(string):
+                start, end = start + first, end + first
                 if not any(s <= start and end <= e for s, e, k in found if k != "entropy"):
                     found.append((start, end, "entropy"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))

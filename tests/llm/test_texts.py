@@ -188,6 +188,15 @@ def test_secrets_found_suppressed_and_masked(docs):
     assert secrets.scan(docs()).count() == 0
 
 
+def test_keys_of_letters_and_beside_samples_are_found():
+    assert [k for *_, k in secrets.secret_spans("A" * 30 + "9")] == []  # more of one character than a window holds
+    for text in ("kQzRwXbTnLpVcJmHsDgFyA", "example/key=Zx8Qw3Lp9Vt2Rk7Ym4Bn6Hc1", "Zx8Qw3Lp9Vt2Rk7Ym4Bn6Hc1=sample"):
+        assert [k for *_, k in secrets.secret_spans(text)] == ["entropy"], text
+    for text in ("internationalisation/configuration", "MAXIMUM_BUFFER_LENGTH_QUOTA", "AbstractSingletonProxyFactoryBean", "Quick-Brown_Fox/jumpsOverTheLazyDog",
+                 "path/of/exampleZx8Qw3Lp9Vt2Rk7Ym4Bn6Hc1"):
+        assert secrets.secret_spans(text) == [], text
+
+
 # Quality classifier
 
 def test_quality_on_held_out_labels(spark):
