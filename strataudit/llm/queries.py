@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strataudit.llm import content, fingerprints, jaccard, neighbours, packing, quality, secrets, sequences, subwords, tokens, urls
+from strataudit.llm import (
+    alignment, content, fingerprints, jaccard, licenses, negatives, neighbours, packing, quality, secrets, sequences, subwords, tokens, urls,
+)
 from strataudit.session import work_path, work_table
 
 CAPACITY = 4096
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 SEQUENCE, SHARD = 2048, 2048
 ACCEPTED = 0.7
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -84,9 +87,26 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare(_table(spark, folder, "documents"))
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    found = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(found.select("vec_id", moved.alias("label"), negatives.scaled("embedding", 256).alias("vec")), F.col("vec_id") % 100 == 0)
+
+
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = work_table(alignment.align(_table(spark, folder, "documents"), BYTES, PIECES), "aligned")
+    counted = work_table(alignment.pair_counts(aligned), "pairs")
+    return alignment.with_counts(aligned, counted).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_table(spark, folder, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in (op1_quality, op2_urls, op3_training_order, op4_secrets, op5_content, op6_packing, op7_subwords, op8_jaccard, op9_neighbours,
-                                   op10_fingerprints)}
+                                   op10_fingerprints, op11_negatives, op12_alignment, op13_licenses)}
 
 
 #: Sets, links and components of documents, as in ``op8_jaccard``.
@@ -108,5 +128,26 @@ FROM sets JOIN (SELECT doc_id, min(c) AS c FROM reached GROUP BY doc_id) AS leas
 """
 
 
+#: All scores of all anchors, as in ``op11_negatives``.
+NEGATIVES_SQL = """
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS r
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.r AS a, a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same,
+           CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM vectors a JOIN vectors c ON a.r <> c.r AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS k FROM scored WHERE same) WHERE k <= 5),
+negatives AS (
+    SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.a, p.k ORDER BY n.score DESC, n.vec_id) AS rank
+    FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_jaccard": JACCARD_SQL}
+    return {"op8_jaccard": JACCARD_SQL, "op11_negatives": NEGATIVES_SQL}
