@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strataudit.functions.json_text import separators, sql_json_bytes
 from strataudit.functions.spread import distinct_keys, having, lacking
+from strataudit.operators.id_index import grams_of, records_with
 from strataudit.schemas import DOCUMENT, FIELD, OBJECT, OVERFLOW_BYTES, OVERFLOW_PREFIX, STORE
 
 
@@ -25,10 +26,12 @@ def _doc_bytes(doc: str) -> Column:
     return F.expr(f"{sql_json_bytes(doc)} + {shape}")
 
 
-def _bytes_over_parts(docs: DataFrame) -> DataFrame:
-    """Size of each record written in several parts, as if its parts were one document.
+def record_bytes(docs: DataFrame) -> DataFrame:
+    """Rows (record_id, bytes): the size of each whole record as ``json.dumps`` writes it.
 
-    Headers that several parts repeat count once. Every step is a grouped sum.
+    A record in one part is measured in its row. Of one in several parts, sizes of headers, objects and fields are summed as if the
+    parts were one document: headers that several parts repeat count once. Both go through the same grouped sums over small rows,
+    so the documents are read once.
     """
     def header(value: str, names: list[str], member: str) -> Column:
         # A header lacks its array member: the full text has ', "<member>": []' more.
@@ -39,38 +42,37 @@ def _bytes_over_parts(docs: DataFrame) -> DataFrame:
     app = ["record_id", "description", "owner", "processes_sensitive_data", "stores_sensitive_data"]
     store = ["store_name", "store_id", "technology", "has_sensitive_data"]
     obj = ["object_name", "object_id", "has_sensitive_data", "retention_days"]
-    stores = docs.select("record_id", header("doc", app, "data_stores").alias("app_bytes"),
-                         F.explode_outer("doc.data_stores").alias("s"))
+    in_parts = F.col("n_parts") > 1
+    stores = docs.select("record_id", F.when(~in_parts, _doc_bytes("doc")).alias("whole"),
+                         F.when(in_parts, header("doc", app, "data_stores")).alias("app_bytes"),
+                         F.explode_outer(F.when(in_parts, F.col("doc.data_stores"))).alias("s"))
     objects = stores.select(
-        "record_id", "app_bytes", "s.store_id",
+        "record_id", "whole", "app_bytes", "s.store_id",
         header("s", store, "data_objects").alias("store_bytes"),
         F.explode_outer("s.data_objects").alias("o"))
     field_bytes = F.expr(
         f"aggregate(o.fields, 0L, (n, f) -> n + {sql_json_bytes('f')} + {separators(len(FIELD))})")
     measured = objects.select(
-        "record_id", "store_id", "o.object_id", "app_bytes", "store_bytes",
+        "record_id", "whole", "store_id", "o.object_id", "app_bytes", "store_bytes",
         header("o", obj, "fields").alias("object_bytes"),
         F.coalesce(F.size("o.fields"), F.lit(0)).alias("n"), F.coalesce(field_bytes, F.lit(0)).alias("field_bytes"))
 
     # Items of an array are set apart by ', ': two bytes less one pair per array that is not empty.
     apart = lambda n: 2 * F.greatest(n - 1, F.lit(0))
+    heads = [F.max("whole").alias("whole"), F.max("app_bytes").alias("app_bytes")]
     per_object = measured.groupBy("record_id", "store_id", "object_id").agg(
-        F.max("app_bytes").alias("app_bytes"), F.max("store_bytes").alias("store_bytes"),
+        *heads, F.max("store_bytes").alias("store_bytes"),
         (F.coalesce(F.max("object_bytes"), F.lit(0)) + F.sum("field_bytes")
          + apart(F.sum(F.greatest("n", F.lit(0))))).alias("b"))
     per_store = per_object.groupBy("record_id", "store_id").agg(
-        F.max("app_bytes").alias("app_bytes"),
-        (F.coalesce(F.max("store_bytes"), F.lit(0)) + F.sum("b") + apart(F.count("object_id"))).alias("b"))
-    return per_store.groupBy("record_id").agg(
-        (F.max("app_bytes") + F.sum("b") + apart(F.count("store_id"))).alias("_many"))
+        *heads, (F.coalesce(F.max("store_bytes"), F.lit(0)) + F.sum("b") + apart(F.count("object_id"))).alias("b"))
+    return per_store.groupBy("record_id").agg(F.coalesce(
+        F.max("whole"), F.max("app_bytes") + F.sum("b") + apart(F.count("store_id"))).alias("bytes"))
 
 
 def with_size(docs: DataFrame) -> DataFrame:
-    """Documents with ``bytes``, the size of the whole record as ``json.dumps`` writes it."""
-    whole = docs.filter("n_parts = 1").withColumn("bytes", _doc_bytes("doc"))
-    split_up = docs.filter("n_parts > 1")
-    sized = split_up.join(_bytes_over_parts(split_up), "record_id").withColumnRenamed("_many", "bytes")
-    return whole.unionByName(sized)
+    """Documents with ``bytes``, the size of their whole record. They are read twice, so they should be a written table."""
+    return docs.join(record_bytes(docs), "record_id")
 
 
 def split_overflow(sized: DataFrame, now: dt.datetime, limit: int = OVERFLOW_BYTES) -> DataFrame:
@@ -89,8 +91,8 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def size_report(sized: DataFrame, limit: int = OVERFLOW_BYTES) -> DataFrame:
-    """What a load would write: bytes per record, and which records overflow, in order."""
-    return sized.filter("part = 0").select(
+    """What a load would write: bytes per record (``record_bytes``), and which records overflow, in order."""
+    return sized.select(
         "record_id", "bytes", (F.col("bytes") > limit).alias("is_overflow")).orderBy("record_id")
 
 
@@ -106,19 +108,10 @@ def search(cache: DataFrame, term: str) -> DataFrame:
     return cache.filter(F.contains(F.lower("record_id"), F.lit(term.strip().lower())))
 
 
-def terms_found(terms: DataFrame, cache: DataFrame) -> DataFrame:
-    """The distinct search terms that some record id contains.
-
-    Ids are cut into their pieces of the lengths that terms have, so the test is an equi-join.
-    """
-    term = F.lower(F.col(terms.columns[0]))
-    wanted = terms.select(term.alias("piece")).filter("piece <> ''").distinct()
-    lengths = wanted.select(F.length("piece").alias("n")).distinct()
-    ids = cache.select(F.lower("record_id").alias("id")).distinct()
-    sized = ids.select("id", F.explode(F.sequence(F.lit(1), F.length("id"))).alias("n")).join(lengths, "n")
-    starts = F.explode(F.sequence(F.lit(1), F.length("id") - F.col("n") + 1))
-    pieces = sized.select("id", "n", starts.alias("at")).select(F.substring("id", F.col("at"), F.col("n")).alias("piece"))
-    return having(wanted, pieces.distinct())
+def terms_found(terms: DataFrame, cache: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """The distinct search terms that some record id contains, in ``piece``; ``grams`` is the index of the ids if there is one."""
+    index = grams_of(cache.select("record_id").distinct()) if grams is None else grams
+    return records_with(terms, index).select(F.col("term").alias("piece")).distinct()
 
 
 def statistics(kind: str, cache: DataFrame, usage: DataFrame | None = None) -> DataFrame:

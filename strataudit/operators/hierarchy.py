@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strataudit.functions.columns import is_empty
 from strataudit.functions.spread import distinct_keys, first_per_key, lacking, unique_rows
-from strataudit.operators.filters import by_owner, by_records, children_of
+from strataudit.operators.filters import by_owner, by_records, children_by_key
 from strataudit.schemas import FIELD_KEYS, OBJECT_KEYS, ORPHAN_STORE, STORE_KEYS
 
 CHILD_COLUMNS = [
@@ -139,7 +139,7 @@ def extract(
     if logins is not None:
         apps = by_owner(apps, logins)
     if ids is not None or logins is not None:
-        stores, objects, fields = (children_of(t, apps) for t in (stores, objects, fields))
+        stores, objects, fields = (children_by_key(t, apps) for t in (stores, objects, fields))
     return flat_join(apps, stores, objects, fields, orphans)
 
 

@@ -31,19 +31,33 @@ def exact_outcomes(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return joined.withColumn("status", _status(F.col("found"), F.lit(True))).drop("key", "found")
 
 
-def partial_outcomes(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Status of partial lookups: found if any record id contains the term."""
+def partial_outcomes(requests: DataFrame, cache: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """Status of partial lookups: found if any record id contains the term. ``grams`` is the index of the ids if there is one."""
     asked = _keyed(requests).filter("is_partial").withColumn("piece", F.lower("key"))
-    found = terms_found(asked.select("piece"), cache).withColumn("found", F.lit(True))
+    found = terms_found(asked.select("piece"), cache, grams).withColumn("found", F.lit(True))
     joined = asked.join(found, "piece", "left")
     return joined.withColumns({
         "status": _status(F.col("found"), F.lit(False)), "legal_reviewer_group": F.lit(None).cast("string"),
     }).drop("key", "piece", "found")
 
 
-def outcomes(requests: DataFrame, cache: DataFrame) -> DataFrame:
+def outcomes(requests: DataFrame, cache: DataFrame, grams: DataFrame | None = None) -> DataFrame:
     """Each request with its status: 400 without id, 426 without version, 404 unknown, else 200."""
-    return exact_outcomes(requests, cache).unionByName(partial_outcomes(requests, cache))
+    return exact_outcomes(requests, cache).unionByName(partial_outcomes(requests, cache, grams))
+
+
+def eligible(requests: DataFrame) -> DataFrame:
+    """Exact lookups that count as usage if their record exists, under the id without padding; requests may be a stream.
+
+    Grouping these and asking for the records afterwards (``of_known``) joins one row a group, however often a record is asked for.
+    """
+    asked = _keyed(requests).filter("NOT coalesce(is_partial, false)")
+    return asked.filter(_status(F.lit(True), F.lit(True)) == 200).withColumn("record_id", F.col("key")).drop("key")
+
+
+def of_known(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """The rows whose record exists, with its ``reviewer_group``."""
+    return rows.join(cache.filter("part = 0").select("record_id", "reviewer_group"), "record_id")
 
 
 def usage_hits(outcome: DataFrame) -> DataFrame:

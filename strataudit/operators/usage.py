@@ -16,12 +16,16 @@ def _newest(value: Column, given: Column | None = None) -> Column:
 
 
 def counters(hits: DataFrame) -> DataFrame:
-    """Hits, last hit, last reviewer group and last named reviewer per record."""
+    """Hits, last hit, last named reviewer and, where hits carry one, last reviewer group per record."""
     named = ~is_empty(F.col("reviewer"))
+    group = [_newest(F.col("legal_reviewer_group")).alias("legal_reviewer_group")] if "legal_reviewer_group" in hits.columns else []
     return hits.groupBy("record_id").agg(
-        F.count("*").alias("hit_count"), F.max("ts").alias("last_hit"),
-        _newest(F.col("legal_reviewer_group")).alias("legal_reviewer_group"),
-        _newest(F.col("reviewer"), named).alias("last_reviewer"))
+        F.count("*").alias("hit_count"), F.max("ts").alias("last_hit"), *group, _newest(F.col("reviewer"), named).alias("last_reviewer"))
+
+
+def of_groups(counted: DataFrame) -> DataFrame:
+    """Counters that carry the record's ``reviewer_group`` under the name that a hit has it."""
+    return counted.select("record_id", "hit_count", "last_hit", F.col("reviewer_group").alias("legal_reviewer_group"), "last_reviewer")
 
 
 def reviewer_hits(hits: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from strataudit.operators import reviews as R
 from strataudit.operators.rules import SENSITIVE_WORDS
 from strataudit.plans.inputs import sql_views
 from strataudit.plans.queries import (
-    LARGE_STORE_LIMIT, LOGINS, OUTLIER_LIMIT, OVERFLOW_LIMIT, RECORD, SEARCH_TERM, TEMPLATE,
+    DELIVERIES, LARGE_STORE_LIMIT, LATENESS, LOGINS, OUTLIER_LIMIT, OVERFLOW_LIMIT, RECORD, SEARCH_TERM, TEMPLATE,
 )
 from strataudit.operators.prompts import CHECKLIST_ONLY, COMPARE, DATA_CLOSE, DATA_OPEN, PRIOR_CLOSE, PRIOR_OPEN
 from strataudit.schemas import LOGIN_COLUMNS
@@ -165,8 +165,12 @@ counters AS (SELECT record_id, count(*) AS hit_count, max(ts) AS last_hit,
 USED = ("apps", "lookups")
 
 
-def _usage(select: str) -> str:
-    return _base(HITS, views=USED) + select
+ELIGIBLE = """,
+eligible AS (SELECT event_id FROM outcome WHERE NOT is_partial AND status IN (200, 404))"""
+
+
+def _usage(select: str, more: str = "") -> str:
+    return _base(HITS + (ELIGIBLE + more if more else ""), views=USED) + select
 
 
 # Reviews
@@ -408,11 +412,11 @@ def oracle_sql() -> dict[str, str]:
             ON o.application_name = f.application_name AND o.object_id = f.object_id
             WHERE (o.application_name, o.data_store_id) IN (SELECT application_name, store_id FROM fx_external)""",
         "object_counts": _base(views=("objects",))
-        + "SELECT application_name, count(*) AS object_count FROM fx_objects GROUP BY application_name",
+        + "SELECT application_name, count(*) AS object_count FROM fx_objects WHERE application_name <> '' GROUP BY application_name",
         "outlier_records": _base(views=("objects",)) + f"""SELECT application_name, count(*) AS object_count FROM fx_objects
-            GROUP BY application_name HAVING count(*) > {OUTLIER_LIMIT}""",
+            WHERE application_name <> '' GROUP BY application_name HAVING count(*) > {OUTLIER_LIMIT}""",
         "large_stores": _base(views=("objects",)) + f"""SELECT application_name, data_store_id, count(*) AS object_count
-            FROM fx_objects WHERE data_store_id <> '' GROUP BY application_name, data_store_id
+            FROM fx_objects WHERE application_name <> '' AND data_store_id <> '' GROUP BY application_name, data_store_id
             HAVING count(*) > {LARGE_STORE_LIMIT}""",
         "extraction_summary": chain + f"""SELECT count(*) AS flat_rows, count(DISTINCT record_id) AS records,
             count(DISTINCT (record_id, data_store_id)) FILTER (data_store_id <> {ORPHAN}) AS stores,
@@ -449,10 +453,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT *, TIMESTAMP '2024-03-01 00:00:00' FROM texts WHERE record_id NOT IN (SELECT record_id FROM texts2))""")
         + f"""SELECT record_id, app_description AS description, CAST(strlen(doc_text) AS BIGINT) AS bytes,
             strlen(doc_text) > {OVERFLOW_LIMIT} AS is_overflow, last_updated FROM merged""",
+        "cache_loads_at_once": _base(_app("(SELECT * FROM fx_apps WHERE snapshot_date = '2024-01-01')", first),
+                              _app("(SELECT * FROM fx_apps WHERE snapshot_date = '2024-01-02')", second),
+                              CHILDREN, _dumps(None, first), _dumps(None, second, "texts2"),
+                              f"""merged AS (SELECT *, TIMESTAMP '2024-03-02 00:00:00' AS last_updated FROM texts2 UNION ALL
+            SELECT t.*, CASE WHEN f.stores_sensitive_data = 'yes' THEN TIMESTAMP '2024-03-01 12:00:00' ELSE TIMESTAMP '2024-03-01 00:00:00' END
+            FROM texts t JOIN {first} f ON t.record_id = f.record_id WHERE t.record_id NOT IN (SELECT record_id FROM texts2))""")
+        + f"""SELECT record_id, app_description AS description, CAST(strlen(doc_text) AS BIGINT) AS bytes,
+            strlen(doc_text) > {OVERFLOW_LIMIT} AS is_overflow, last_updated FROM merged""",
         "lookup_exact": _base(_app(), CHILDREN, _documents(), views=(*FOUR, "lookups"))
         + f"SELECT {doc_columns} FROM docs WHERE record_id IN (SELECT record_id FROM fx_lookups WHERE NOT is_partial)",
         "lookup_single": docs + f"SELECT {doc_columns} FROM docs WHERE record_id = '{RECORD}'",
         "lookup_partial": docs + f"SELECT {doc_columns} FROM docs WHERE contains(lower(record_id), lower('{SEARCH_TERM}'))",
+        "lookup_terms": _base(views=("apps", "lookups")) + """SELECT term, record_id FROM
+            (SELECT DISTINCT lower(trim(record_id)) AS term FROM fx_lookups WHERE is_partial AND trim(record_id) <> '') t
+            JOIN (SELECT DISTINCT record_id FROM fx_apps) a ON contains(lower(a.record_id), term)""",
         "overflow_read": _base(_app(), CHILDREN, _documents(), _dumps(None, name="texts2"))
         + f"""SELECT d.*, strlen(t.doc_text) > {OVERFLOW_LIMIT} AS is_overflow FROM
             (SELECT {doc_columns} FROM docs) d JOIN texts2 t USING (record_id)""",
@@ -470,6 +485,16 @@ def oracle_sql() -> dict[str, str]:
         "request_outcomes": _base(OUTCOMES, views=USED) + "SELECT event_id, record_id, is_partial, status FROM outcome",
         "usage_counters": _usage("SELECT * FROM counters"),
         "usage_counters_stream": _usage("SELECT * FROM counters"),
+        "usage_daily_stream": _usage("SELECT record_id, day, count(*) AS hit_count FROM kept GROUP BY 1, 2", f""",
+span AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS z FROM fx_lookups),
+sent AS (SELECT event_id, ts, CAST(least({DELIVERIES - 1}, CASE WHEN event_id % 13 = 0 THEN {DELIVERIES - 1}
+         ELSE ({DELIVERIES} * (epoch_us(ts) - a)) // (z - a + 1) + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END END) AS INTEGER) AS delivery
+         FROM fx_lookups, span),
+-- The stream sees the eligible requests alone, so these alone move its clock.
+clock AS (SELECT delivery, max(ts) AS latest FROM sent JOIN eligible USING (event_id) GROUP BY delivery),
+kept AS (SELECT h.record_id, CAST(date_trunc('day', h.ts) AS TIMESTAMP) AS day FROM hits h JOIN sent USING (event_id)
+         WHERE date_trunc('day', h.ts) + INTERVAL 1 DAY > coalesce((SELECT max(latest) FROM clock WHERE clock.delivery < sent.delivery)
+               - INTERVAL {LATENESS}, TIMESTAMP '1970-01-01'))"""),
         "usage_reviewers": _usage("""SELECT record_id, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts,
             string_agg(reviewer, ',' ORDER BY reviewer) AS reviewers FROM (SELECT DISTINCT record_id, reviewer FROM hits
             WHERE reviewer <> '') GROUP BY record_id"""),

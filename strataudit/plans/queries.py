@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strataudit.functions.columns import to_bool
+from strataudit.functions.columns import strip_spaces, to_bool
 from strataudit.functions.json_text import json_dumps
 from strataudit.functions.struct_text import owner, struct_pairs
 from strataudit.functions.versions import compare_versions
@@ -16,8 +15,9 @@ from strataudit.operators import cache, counts, filters, hierarchy, prompts, rep
 from strataudit.operators.nesting import flat_from_documents, nest
 from strataudit.plans.inputs import Inputs
 from strataudit.schemas import DOCUMENT
-from strataudit.session import shared_folder
+from strataudit.session import work_path, work_table
 from strataudit.sources import integrity, preflight, snapshots
+from strataudit.sources.buckets import Store
 from strataudit.streaming import usage as stream
 
 NOW = dt.datetime(2024, 3, 1)
@@ -28,24 +28,34 @@ LOGINS = ["FRANCE", "ASIA", "BUILDING"]
 SEARCH_TERM = "R#00000012"
 RECORD = "Customer#000000121"
 TEMPLATE = "Review this record.\n"
+DELIVERIES = 4
+LATENESS = "5 days"
 
 Query = Callable[[SparkSession, str], DataFrame]
-_snapshots: dict[tuple[str, str], str] = {}
+_stores: dict[tuple[str, str], str] = {}
 
 
 def documents(t: Inputs) -> DataFrame:
     return nest(*t.four)
 
 
-def stored_cache(t: Inputs) -> DataFrame:
-    """The snapshot of the record documents, written once per session to the shared folder."""
+def _cache_rows(docs: DataFrame, now: dt.datetime) -> DataFrame:
+    return cache.split_overflow(cache.with_size(work_table(docs, "documents")), now, OVERFLOW_LIMIT)
+
+
+def store(t: Inputs) -> Store:
+    """The record documents in a store of the session, loaded once for each folder."""
     key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _snapshots:
-        root = f"{shared_folder(t.spark)}/strataudit-cache-{uuid.uuid4().hex}"
-        rows = cache.split_overflow(cache.with_size(documents(t)), NOW, OVERFLOW_LIMIT)
-        snapshots.write_version(rows, root, NOW)
-        _snapshots[key] = root
-    return snapshots.read_current(t.spark, _snapshots[key])
+    if key not in _stores:
+        root = work_path(t.spark, "cache")
+        Store(t.spark, root).load(_cache_rows(documents(t), NOW), NOW)
+        _stores[key] = root
+    return Store(t.spark, _stores[key])
+
+
+def stored_cache(t: Inputs) -> DataFrame:
+    """One narrow row a stored record."""
+    return store(t).keys()
 
 
 def _doc_json(df: DataFrame, *columns: str) -> DataFrame:
@@ -166,62 +176,78 @@ def nest_large_records(t: Inputs) -> DataFrame:
 
 
 def record_sizes(t: Inputs) -> DataFrame:
-    return cache.with_size(documents(t)).select("record_id", "bytes")
+    return cache.record_bytes(documents(t))
 
 
 def record_sizes_in_parts(t: Inputs) -> DataFrame:
-    sized = cache.with_size(nest(*t.four, part_leaves=20))
-    return sized.filter("part = 0").select("record_id", "bytes")
+    return cache.record_bytes(nest(*t.four, part_leaves=20))
 
 
 def overflow_split(t: Inputs) -> DataFrame:
-    rows = cache.split_overflow(cache.with_size(documents(t)), NOW, OVERFLOW_LIMIT)
-    return rows.select("record_id", "bytes", "is_overflow", "overflow_key")
+    return cache.split_overflow(cache.record_bytes(documents(t)), NOW, OVERFLOW_LIMIT).drop("last_updated")
 
 
 def dry_run_report(t: Inputs) -> DataFrame:
-    return cache.size_report(cache.with_size(documents(t)), OVERFLOW_LIMIT)
+    return cache.size_report(cache.record_bytes(documents(t)), OVERFLOW_LIMIT)
 
 
-def cache_upsert(t: Inputs) -> DataFrame:
-    """First load: the first snapshots. Second load: the records that have a second one."""
-    apps, *children = t.four
-    root = f"{shared_folder(t.spark)}/strataudit-upsert-{uuid.uuid4().hex}"
+def _load_of(t: Inputs, chosen: DataFrame, now: dt.datetime) -> DataFrame:
+    """Cache rows of some application rows."""
+    return _cache_rows(nest(chosen, *(filters.children_by_key(c, chosen) for c in t.four[1:])), now)
+
+
+def _stored_rows(rows: Store) -> DataFrame:
+    return rows.documents().select("record_id", "doc.description", "bytes", "is_overflow",
+                                   F.col("last_updated").cast("timestamp_ntz").alias("last_updated"))
 
-    def load(day: str, now: dt.datetime) -> DataFrame:
-        chosen = apps.filter(F.col("snapshot_date") == day)
-        docs = nest(chosen, *(filters.children_of(c, chosen) for c in children))
-        return cache.split_overflow(cache.with_size(docs), now, OVERFLOW_LIMIT)
 
-    snapshots.write_version(load("2024-01-01", NOW), root, NOW)
-    later = NOW + dt.timedelta(days=1)
-    merged = cache.upsert(snapshots.read_current(t.spark, root), load("2024-01-02", later))
-    snapshots.write_version(merged, root, later)
-    return snapshots.read_current(t.spark, root).select(
-        "record_id", "doc.description", "bytes", "is_overflow",
-        F.col("last_updated").cast("timestamp_ntz").alias("last_updated"))
+def cache_upsert(t: Inputs) -> DataFrame:
+    """First load: the first snapshots. Second load: the records that have a second one."""
+    apps, later = t.view("apps"), NOW + dt.timedelta(days=1)
+    held = Store(t.spark, work_path(t.spark, "upsert"))
+    held.load(_load_of(t, apps.filter("snapshot_date = '2024-01-01'"), NOW), NOW)
+    held.load(_load_of(t, apps.filter("snapshot_date = '2024-01-02'"), later), later)
+    return _stored_rows(held)
+
+
+def cache_loads_at_once(t: Inputs) -> DataFrame:
+    """After a first load two more at once: the second snapshots, and half a day older, records loaded again. Neither sees the other."""
+    apps, later, between = t.view("apps"), NOW + dt.timedelta(days=1), NOW + dt.timedelta(hours=12)
+    first = apps.filter("snapshot_date = '2024-01-01'")
+    held = Store(t.spark, work_path(t.spark, "at-once"))
+    held.load(_load_of(t, first, NOW), NOW)
+    newer = held.prepare(_load_of(t, apps.filter("snapshot_date = '2024-01-02'"), later), later)
+    older = held.prepare(_load_of(t, first.filter("stores_sensitive_data = 'yes'"), between), between)
+    held.commit(newer)
+    held.commit(older)
+    return _stored_rows(held)
 
 
 def lookup_exact(t: Inputs) -> DataFrame:
-    return _doc_json(cache.lookup(stored_cache(t), t.view("lookups").filter("NOT is_partial").select("record_id")))
+    return _doc_json(store(t).lookup(t.view("lookups").filter("NOT is_partial").select("record_id")))
 
 
 def lookup_single(t: Inputs) -> DataFrame:
-    return _doc_json(cache.lookup(stored_cache(t), [RECORD]))
+    return _doc_json(store(t).lookup([RECORD]))
 
 
 def lookup_partial(t: Inputs) -> DataFrame:
-    return _doc_json(cache.search(stored_cache(t), SEARCH_TERM))
+    return _doc_json(store(t).search(SEARCH_TERM))
+
+
+def lookup_terms(t: Inputs) -> DataFrame:
+    """The records that each asked piece of an id finds."""
+    return store(t).search_many(t.view("lookups").filter("is_partial").select(strip_spaces(F.col("record_id"))))
 
 
 def overflow_read(t: Inputs) -> DataFrame:
     """All documents through one view, those kept apart included."""
-    return _doc_json(stored_cache(t), "is_overflow")
+    return _doc_json(store(t).documents(), "is_overflow")
 
 
 def overflow_json_read(t: Inputs) -> DataFrame:
     """All documents, written as JSON text and read again."""
-    bodies = stored_cache(t).withColumn("body", json_dumps("doc", DOCUMENT)).drop("doc")
+    bodies = store(t).documents().withColumn("body", json_dumps("doc", DOCUMENT)).drop("doc")
     return _doc_json(snapshots.read_json_documents(bodies), "is_overflow", "error")
 
 
@@ -240,25 +266,61 @@ def stats_cache(t: Inputs) -> DataFrame:
 # Requests and usage
 
 def request_outcomes(t: Inputs) -> DataFrame:
-    return requests.outcomes(t.view("lookups"), stored_cache(t)).select("event_id", "record_id", "is_partial", "status")
+    return requests.outcomes(t.view("lookups"), stored_cache(t), store(t).grams()).select("event_id", "record_id", "is_partial", "status")
 
 
 def _hits(t: Inputs) -> DataFrame:
     return requests.usage_hits(requests.exact_outcomes(t.view("lookups"), stored_cache(t)))
 
 
+def _used(t: Inputs, rows: DataFrame) -> DataFrame:
+    """Grouped rows of the records that exist."""
+    return requests.of_known(rows, stored_cache(t))
+
+
+def _counters(t: Inputs) -> DataFrame:
+    return usage.of_groups(_used(t, usage.counters(requests.eligible(t.view("lookups")))))
+
+
 def usage_counters(t: Inputs) -> DataFrame:
-    return usage.counters(_hits(t))
+    return _counters(t)
+
+
+def _deliveries(t: Inputs) -> DataFrame:
+    """Request events with the number of the delivery that brings them: by time, but some come one later and some in the last."""
+    events = t.spark.read.parquet(f"{t.folder}/events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = events.agg(F.min(at).alias("a"), F.max(at).alias("z"))
+    share = F.expr(f"(({DELIVERIES} * (unix_micros(CAST(ts AS timestamp)) - a)) DIV (z - a + 1))").cast("int")
+    late = F.when(F.col("event_id") % 13 == 0, F.lit(DELIVERIES - 1)).when(F.col("event_id") % 11 == 0, share + 1).otherwise(share)
+    return events.join(span).select(*events.columns, F.least(late, F.lit(DELIVERIES - 1)).alias("delivery"))  # one row beside all
+
+
+def _streamed(t: Inputs, changes: Callable[[DataFrame], DataFrame], finish: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """Deliveries of request files as a stream that is started anew for each, from its checkpoint; older batches are compacted."""
+    root = work_path(t.spark, "usage")
+    events = work_table(_deliveries(t), "deliveries")
+    files = events.drop("delivery")
+    for k in range(DELIVERIES):
+        events.filter(F.col("delivery") == k).drop("delivery").write.mode("append").parquet(f"{root}/files")
+        source = stream.read_requests(t.spark, f"{root}/files", files.schema)
+        stream.start_updates(changes(requests.eligible(t.stream_view("lookups", source))), f"{root}/table", f"{root}/checkpoint",
+                             finish=finish).awaitTermination()
+        if k == 1:
+            stream.compact(t.spark, f"{root}/table", keys)
+    return stream.latest_rows(t.spark, f"{root}/table", keys)
 
 
 def usage_counters_stream(t: Inputs) -> DataFrame:
-    """The same counters from a stream of the request files."""
-    root = f"{shared_folder(t.spark)}/strataudit-usage-{uuid.uuid4().hex}"
-    source = stream.read_requests(t.spark, t.folder, t.spark.read.parquet(f"{t.folder}/events.parquet").schema,
-                                  "events.parquet")
-    hits = requests.usage_hits(requests.exact_outcomes(t.stream_view("lookups", source), stored_cache(t)))
-    stream.start_updates(usage.counters(hits), f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return stream.latest_rows(t.spark, f"{root}/table", ["record_id"])
+    """The same counters from a stream in several deliveries. State holds the hits by id; a batch's changed rows meet the records."""
+    return _streamed(t, usage.counters, lambda rows: usage.of_groups(_used(t, rows)), ["record_id"])
+
+
+def usage_daily_stream(t: Inputs) -> DataFrame:
+    """Hits per day from the stream. Late hits count while their day is not closed; those that come later are left out."""
+    timed = lambda hits: hits.withColumn("ts", F.col("ts").cast("timestamp"))
+    days = _streamed(t, lambda hits: usage.daily(timed(hits), LATENESS), lambda rows: _used(t, rows).drop("reviewer_group"), ["record_id", "day"])
+    return days.withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 def usage_reviewers(t: Inputs) -> DataFrame:
@@ -267,15 +329,15 @@ def usage_reviewers(t: Inputs) -> DataFrame:
 
 
 def usage_reviewer_hits(t: Inputs) -> DataFrame:
-    return usage.reviewer_hits(_hits(t))
+    return _used(t, usage.reviewer_hits(requests.eligible(t.view("lookups")))).drop("reviewer_group")
 
 
 def usage_daily(t: Inputs) -> DataFrame:
-    return usage.daily(_hits(t))
+    return _used(t, usage.daily(requests.eligible(t.view("lookups")))).drop("reviewer_group")
 
 
 def usage_ranking(t: Inputs) -> DataFrame:
-    return usage.most_used(usage.counters(_hits(t)).select("record_id", "hit_count"))
+    return usage.most_used(_counters(t).select("record_id", "hit_count"))
 
 
 def never_reviewed(t: Inputs) -> DataFrame:
@@ -283,11 +345,11 @@ def never_reviewed(t: Inputs) -> DataFrame:
 
 
 def stats_usage(t: Inputs) -> DataFrame:
-    return cache.statistics("usage", stored_cache(t), usage.counters(_hits(t)))
+    return cache.statistics("usage", stored_cache(t), _counters(t))
 
 
 def stats_reviewer_groups(t: Inputs) -> DataFrame:
-    return cache.statistics("reviewer-groups", stored_cache(t), usage.counters(_hits(t)))
+    return cache.statistics("reviewer-groups", stored_cache(t), _counters(t))
 
 
 def version_lookup(t: Inputs) -> DataFrame:
@@ -362,9 +424,9 @@ ALL: list[Callable[[Inputs], DataFrame]] = [
     owner_extract_join, filter_records, filter_owner_hierarchy, filter_owner_table, filter_records_and_owner,
     distinct_record_ids, filter_children, objects_of_store, object_counts, outlier_records, large_stores,
     extraction_summary, nest_records, nest_large_records, normalise_booleans, struct_text_pairs, owner_extract,
-    record_sizes, record_sizes_in_parts, overflow_split, dry_run_report, cache_upsert, lookup_exact, lookup_single,
-    lookup_partial, overflow_read, overflow_json_read, stats_count, stats_list, stats_cache, stats_usage, stats_reviewer_groups, request_outcomes,
-    usage_counters, usage_counters_stream, usage_reviewers, usage_reviewer_hits, usage_daily, usage_ranking,
+    record_sizes, record_sizes_in_parts, overflow_split, dry_run_report, cache_upsert, cache_loads_at_once, lookup_exact, lookup_single,
+    lookup_partial, lookup_terms, overflow_read, overflow_json_read, stats_count, stats_list, stats_cache, stats_usage, stats_reviewer_groups, request_outcomes,
+    usage_counters, usage_counters_stream, usage_daily_stream, usage_reviewers, usage_reviewer_hits, usage_daily, usage_ranking,
     never_reviewed, version_lookup, version_compare, client_version_status, report_names, review_prompts,
     gate_sections, gate_tables, action_items, checklist_items, findings_summary, findings_filtered, findings_per_review,
     review_delta, gate_rule_checks, external_crossref, integrity_report, dataset_preflight,

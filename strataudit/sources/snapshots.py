@@ -1,15 +1,16 @@
-"""Versioned Parquet snapshots: a load is written beside the old one and becomes current at the end."""
+"""Versioned Parquet snapshots of whole tables: a load is written beside the old one and becomes current at the end."""
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from strataudit.schemas import DOCUMENT
 
-_LOG = "version int, written timestamp"
+_LOG = "version int, written timestamp, folder string"
 
 
 def _versions(spark: SparkSession, root: str) -> DataFrame | None:
@@ -32,22 +33,24 @@ def write_version(df: DataFrame, root: str, now: dt.datetime) -> int:
 
     Overflowing records go to a partition of their own.
 
-    The data must not be read from the folder that is written, which holds as versions never change.
-    A load that fails leaves a folder that no log row names; the next load overwrites it.
+    Each load has a folder of its own, which no later one touches, so the data may come from an older version. A load that fails
+    leaves a folder that no log row names. Of two loads at once both are kept, and one of them, always the same, is current.
     """
     spark = df.sparkSession
     version = current_version(spark, root) + 1
-    df.write.mode("overwrite").partitionBy("is_overflow").parquet(f"{root}/version={version}")
-    spark.createDataFrame([(version, now)], _LOG).coalesce(1).write.mode("append").parquet(f"{root}/_versions")
+    folder = f"version={version}-{uuid.uuid4().hex}"
+    df.write.partitionBy("is_overflow").parquet(f"{root}/{folder}")
+    spark.createDataFrame([(version, now, folder)], _LOG).coalesce(1).write.mode("append").parquet(f"{root}/_versions")
     return version
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     """The current version; inline and overflow records come back as one table."""
-    version = current_version(spark, root)
-    if version == 0:
+    log = _versions(spark, root)
+    last = log.agg(F.max_by("folder", F.struct("version", "written", "folder"))).first()[0] if log is not None else None
+    if last is None:
         raise FileNotFoundError(f"no snapshot under {root}")
-    rows = spark.read.parquet(f"{root}/version={version}")
+    rows = spark.read.parquet(f"{root}/{last}")
     return rows.withColumn("is_overflow", F.col("is_overflow").cast("boolean"))
 
 
