@@ -22,8 +22,9 @@ from strataudit.session import work_table
 SPACE = "▁"
 #: Texts are handed to the tokenizers in portions of about so many characters.
 PORTION = 500_000
-#: Distinct windows that a Python worker remembers; then it starts anew. Longer windows than ``LONG`` ids are not remembered.
-REMEMBERED, LONG = 150_000, 64
+#: Distinct windows that a Python worker learns until it forgets those that it has not met since the last time, so twice as many
+#: are in memory at most. Longer windows than ``LONG`` ids are not remembered.
+REMEMBERED, LONG = 100_000, 64
 #: Id pairs, the most frequent ones, that every task has at hand (24 bytes each); all other pairs are joined.
 FREQUENT = 1 << 17
 
@@ -76,6 +77,15 @@ class PieceTokens:
         return self.model.encode(texts, num_threads=1) if texts else []
 
 
+def _merged(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> np.ndarray:
+    """``a`` and ``b`` as one array of runs: the first run of a, the first of b, the second of a, and so on; runs end before ``to``."""
+    size_a, size_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+    out = np.empty(len(a) + len(b), a.dtype)
+    out[np.arange(len(a)) + np.repeat(to_b - size_b, size_a)] = a
+    out[np.arange(len(b)) + np.repeat(to_a, size_b)] = b
+    return out
+
+
 class Aligner:
     """Groups of two token sequences over the same bytes, with a bounded memory of windows."""
 
@@ -83,76 +93,63 @@ class Aligner:
         self.bytes = a_bytes, b_bytes
         self.lengths = [np.array([len(t) for t in side], np.int64) for side in self.bytes]
         self.spaced = [np.array([t.startswith(b" ") for t in side]) for side in self.bytes]
+        # How an id is written: inside and at the end of a group's side.
+        n_a, n_b = len(a_bytes), len(b_bytes)
+        self.shown = [f"{i}{end}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for end in ends for i in range(n)]
+        #: The text of a window's groups by its ids, both sides one after another.
+        self.known: dict[bytes, str] = {}
+        self.before: dict[bytes, str] = {}
         self.limit = limit
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
-        self.texts: list[str] = []
-        self.pairs: list[np.ndarray] = []
-
-    def window(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
-        """The groups of one window as text, and the keys of all its links: ``a`` id * 2^32 + ``b`` id."""
-        ends_a, ends_b = np.cumsum(self.lengths[0][a]).tolist(), np.cumsum(self.lengths[1][b]).tolist()
-        groups, links, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-        while i < len(a) and j < len(b):
-            if ends_a[i] == ends_b[j]:
-                i, j = i + 1, j + 1
-                left, right = a[from_i:i], b[from_j:j]
-                groups.append(f"{','.join(map(str, left.tolist()))}|{','.join(map(str, right.tolist()))}")
-                links.append((left[:, None].astype(np.int64) << 32 | right[None, :]).ravel())
-                from_i, from_j = i, j
-            elif ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
-        return ";".join(groups), np.concatenate(links)
+
+    def written(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> list[str]:
+        """The ids of all groups in order as they are written, with what stands behind each."""
+        n_a, n_b = len(self.bytes[0]), len(self.bytes[1])
+        a, b = a.copy(), b + 2 * n_a
+        a[to_a - 1] += n_a
+        b[to_b - 1] += n_b
+        return list(map(self.shown.__getitem__, _merged(a, b, to_a, to_b).tolist()))
 
     def align(self, a: list[int], b: list[int], raw: bytes):
         """(groups, links, digest, keys, times) of one text; None if the tokens of either are not its bytes.
 
-        ``keys`` are the distinct linked pairs, ``times`` how many links each has.
+        ``keys`` are the distinct linked pairs, ``a`` id * 2^32 + ``b`` id, ``times`` how many links each has.
         """
         if b"".join(map(self.bytes[0].__getitem__, a)) != raw or b"".join(map(self.bytes[1].__getitem__, b)) != raw:
             return None
         if len(self.known) > self.limit:
-            self.forget()
+            self.before, self.known = self.known, {}
         a_ids, b_ids = np.array(a, np.int32), np.array(b, np.int32)
         ends_a, ends_b = np.cumsum(self.lengths[0][a_ids]), np.cumsum(self.lengths[1][b_ids])
         at = np.searchsorted(ends_b, ends_a)
         i = np.flatnonzero(ends_b[at] == ends_a)
-        j = at[i]
-        n_links = int(np.sum(np.diff(i, prepend=-1) * np.diff(j, prepend=-1)))
-        cut = self.spaced[0][a_ids[i[:-1] + 1]] & self.spaced[1][b_ids[j[:-1] + 1]]
-        k, l = i[:-1][cut] + 1, j[:-1][cut] + 1
-        from_a, to_a = np.concatenate(([0], k)), np.concatenate((k, [len(a)]))
-        from_b, to_b = np.concatenate(([0], l)), np.concatenate((l, [len(b)]))
-        a_raw, b_raw, get = a_ids.tobytes(), b_ids.tobytes(), self.known.get
-        found = [get((a_raw[p:q], b_raw[r:s])) for p, q, r, s in zip(
-            (4 * from_a).tolist(), (4 * to_a).tolist(), (4 * from_b).tolist(), (4 * to_b).tolist())]
-        own: list[tuple[str, np.ndarray]] = []
-        for n, place in enumerate(found):
-            if place is None:
-                p, q, r, s = from_a[n], to_a[n], from_b[n], to_b[n]
-                key = a_raw[4 * p:4 * q], b_raw[4 * r:4 * s]
-                place = get(key)
-                if place is None:
-                    text, pairs = self.window(a_ids[p:q], b_ids[r:s])
-                    if q - p + s - r > LONG:
-                        own.append((text, pairs))
-                        place = -len(own)
-                    else:
-                        place = self.known[key] = len(self.texts)
-                        self.texts.append(text)
-                        self.pairs.append(pairs)
-                found[n] = place
-        text = ";".join([self.texts[n] if n >= 0 else own[-n - 1][0] for n in found])
-        windows, often = np.unique(np.array(found, np.int64), return_counts=True)
-        parts = [self.pairs[n] if n >= 0 else own[-n - 1][1] for n in windows.tolist()]
-        weights = np.repeat(often, [len(p) for p in parts])
-        keys, place = np.unique(np.concatenate(parts), return_inverse=True)
-        times = np.bincount(place, weights).astype(np.int64)
-        return len(i), n_links, sha256(text.encode()).hexdigest(), keys, times
+        to_a, to_b = i + 1, at[i] + 1  # the ends of groups
+        cut = np.append(self.spaced[0][a_ids[to_a[:-1]]] & self.spaced[1][b_ids[to_b[:-1]]], True)
+        last_a, last_b = to_a[cut], to_b[cut]  # the ends of windows
+        ids, get = _merged(a_ids, b_ids | 1 << 30, last_a, last_b).tobytes(), self.known.get
+        ends = (last_a + last_b).tolist()
+        found = [get(ids[4 * p:4 * q]) for p, q in zip([0, *ends], ends)]
+        if None in found:
+            shown = None
+            for n, known in enumerate(found):
+                if known is None:
+                    p, q = ends[n - 1] if n else 0, ends[n]
+                    key = ids[4 * p:4 * q]
+                    known = get(key) or self.before.get(key)
+                    if known is None:
+                        shown = shown or self.written(a_ids, b_ids, to_a, to_b)
+                        known = "".join(shown[p:q])
+                    if q - p <= LONG:
+                        self.known[key] = known
+                    found[n] = known
+        digest = sha256("".join(found)[:-1].encode()).hexdigest()
+        size_a, size_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        links = size_a * size_b
+        inside = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links, links)
+        across = np.repeat(size_b, links)
+        left = a_ids[np.repeat(to_a - size_a, links) + inside // across].astype(np.int64)
+        right = b_ids[np.repeat(to_b - size_b, links) + inside % across]
+        keys, times = np.unique(left << 32 | right, return_counts=True)
+        return len(i), int(links.sum()), digest, keys, times
 
 
 @lru_cache(maxsize=1)
