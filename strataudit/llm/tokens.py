@@ -27,7 +27,7 @@ class WordEncoder:
     beyond it the store starts anew. Ids are unsigned little-endian 32-bit numbers.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1) -> DataFr
         encoder, end, width = word_encoder(path), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, texts in in_portions(batch.column(1).to_pylist()):
+            for first, texts in in_portions(batch.column(1).to_pylist(), 1_000_000):
                 rows = []
                 for doc_id, ids in zip(doc_ids[first:], encoder.encode(texts)):
                     ids += end
