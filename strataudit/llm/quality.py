@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strataudit.llm.shingles import word_hashes
-from strataudit.llm.tokens import in_portions
+from strataudit.llm.tokens import give_back, in_portions
 from strataudit.session import work_table
 
 _MARKS = b"!|#$%&*"
@@ -78,6 +78,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
             for first, texts in in_portions(batch.column(1).to_pylist(), PORTION):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([r.tobytes() for r in features(texts)], pa.binary())],
                                                  names=["doc_id", "x"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(build, "doc_id bigint, x binary")
 
@@ -191,6 +192,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = [model.score(texts) for _, texts in in_portions(batch.column(at).to_pylist(), PORTION)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*scores, np.zeros(0)]))],
                                              names=[*batch.schema.names, "score"])
+        give_back()
 
     return docs.mapInArrow(add, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score double")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from array import array
@@ -64,6 +65,15 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system. Workers are used again, and the next task would else start at the
+    peak of the last one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def in_portions(texts: list[str | None], size: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """(index of the first, texts) of portions of about ``size`` characters; null is empty."""
     at, portion, total = 0, [], 0
@@ -94,5 +104,6 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1) -> DataFr
                         part = ids[at:at + width]
                         rows.append((doc_id, k, at // 4, len(part) // 4, part))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROW)], schema=_ROW)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(encode, PIECES)
