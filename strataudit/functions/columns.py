@@ -40,6 +40,27 @@ def sql_let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+#: Items of one strip of a list that is built in a fold.
+STRIP = 128
+
+
+def sql_list(dtype: str) -> str:
+    """The empty list of a fold; see ``sql_append``."""
+    return f"named_struct('strips', CAST(array() AS array<array<{dtype}>>), 'now', CAST(array() AS array<{dtype}>))"
+
+
+def sql_append(state: str, item: str) -> str:
+    """``item`` at the end of such a list. An array is copied when it grows, so items go to a short strip and full strips to a list."""
+    full = f"size({state}.now) >= {STRIP}"
+    return f"""named_struct('strips', if({full}, concat({state}.strips, array({state}.now)), {state}.strips),
+        'now', concat(if({full}, slice({state}.now, 1, 0), {state}.now), array({item})))"""
+
+
+def sql_listed(state: str) -> str:
+    """All items of such a list as one array."""
+    return f"concat(flatten({state}.strips), {state}.now)"
+
+
 def sql_strip(text: str) -> str:
     return f"regexp_replace({text}, {sql_pattern(_EDGE_SPACE)}, '')"
 

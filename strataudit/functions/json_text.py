@@ -44,6 +44,18 @@ def json_dumps(value: str, dtype: T.DataType, indent: int | None = None) -> Colu
     return F.expr(_dumps(value, dtype, indent, 0))
 
 
+def sql_json_open(value: str, dtype: T.StructType, level: int, indent: int = 2) -> str:
+    """The text of a struct up to its last member, an array, whose name ends the text. ``level`` is the depth of the struct."""
+    pad = r"\n" + " " * (indent * (level + 1))
+    members = [f"""'"{f.name}": ', {_dumps(f"{value}.{f.name}", f.dataType, indent, level + 1)}, ',{pad}'""" for f in dtype.fields[:-1]]
+    return f"""concat('{{{pad}', {', '.join(members)}, '"{dtype.fields[-1].name}": ')"""
+
+
+def sql_json(value: str, dtype: T.DataType, level: int, indent: int = 2) -> str:
+    """The whole text of a value at a depth."""
+    return _dumps(value, dtype, indent, level)
+
+
 def sql_json_bytes(value: str, name: str = "js") -> str:
     """Bytes of the compact JSON of a struct once everything outside blank..tilde is escaped."""
     count = lambda chars: f"regexp_count({name}, {sql_pattern(chars)})"

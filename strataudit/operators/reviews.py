@@ -9,15 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strataudit.functions.columns import is_blank, sql_let, sql_pattern, sql_strip, sql_words
+from strataudit.functions.columns import is_blank, sql_append, sql_let, sql_list, sql_listed, sql_pattern, sql_strip, sql_words
 
 # The patterns that findings are defined by. The flags give line feeds alone the meaning
 # of line ends, anchors per line, and Unicode character classes.
 FLAGS = "(?dmU)"
 GATE_HEADING = r"^#{2,3}\s+[Gg][Aa][Tt][Ee]\s+(\d)\s*[:\-—]?\s*(.*)"
 TABLE_HEADING = r"^#{2,3}\s+(?:Data\s+Store|Table)\s*[:\-—]\s*(.*)"
-TABLE_INLINE = (r"(?:[Ii]n|[Ff]or|[Tt]able|[Dd]ata\s+[Ss]tore)\s+[:\-]?\s*"
-                r"""[`"']?([A-Za-z][A-Za-z0-9_\-]+)[`"']?""")
+TABLE_INLINE = r"""(?:[Ii]n|[Ff]or|[Tt]able|[Dd]ata\s+[Ss]tore)\s+[:\-]?\s*[`"']?([A-Za-z][A-Za-z0-9_\-]+)[`"']?"""
 ACTION_ITEM = r"^\s*\d+[\.\)]\s*(.*?\[(?:HIGH|MEDIUM|LOW)\].*)"
 CHECKLIST_ITEM = r"^\s*(?:\d+[\.\)]|-)\s*\[([xX ])\]\s*(.*)"
 SEVERITY = r"\[(HIGH|MEDIUM|LOW)\]"
@@ -72,22 +71,20 @@ def _tables(section: str) -> str:
     return f"array_distinct(concat({headed}, {inline}))"
 
 
-def _contexts(section: str, pattern: str) -> str:
-    """For each match of ``pattern``, the name in the nearest table heading above it, or ''.
+def _contexts(section: str, pattern: str, matches: str) -> str:
+    """For each of the ``matches`` of ``pattern``, the name in the nearest table heading above it, or ''.
 
     Only the text before a match counts. The text is walked in strips, each from one match to the next;
     a heading still open at the end of a strip is carried into the next, where it takes its name.
     """
-    strips = "transform(w.matches, (m, i) -> concat(if(i > 0, get(w.matches, i - 1), ''), get(w.gaps, i)))"
+    strips = f"transform({matches}, (m, i) -> concat(if(i > 0, get({matches}, i - 1), ''), get(gaps, i)))"
     carried = f"if(i > 0, regexp_extract(get(st, i - 1), {sql_pattern(_OPEN_HEADING)}, 0), '')"
     names = f"transform(st, (strip, i) -> try_element_at({_all(f'concat({carried}, strip)', _HEADING, 1)}, -1))"
-    nearest = f"""aggregate({sql_let('st', strips, names)},
-        named_struct('now', '', 'known', CAST(array() AS array<string>)),
-        (acc, n) -> named_struct('now', coalesce(n, acc.now), 'known', concat(acc.known, array(coalesce(n, acc.now)))),
-        acc -> transform(acc.known, n -> {_name('n')}))"""
-    matches = _all(section, pattern, 0)
-    walk = sql_let("w", f"named_struct('matches', {matches}, 'gaps', split({section}, {sql_pattern(pattern)}, -1))", nearest)
-    return f"if(contains({section}, '#'), {walk}, transform({matches}, m -> ''))"
+    nearest = f"""aggregate({sql_let('st', strips, names)}, named_struct('now', '', 'known', {sql_list('string')}),
+        (acc, n) -> named_struct('now', coalesce(n, acc.now), 'known', {sql_append('acc.known', 'coalesce(n, acc.now)')}),
+        acc -> transform({sql_listed('acc.known')}, n -> {_name('n')}))"""
+    walk = sql_let("gaps", f"split({section}, {sql_pattern(pattern)}, -1)", nearest)
+    return f"if(contains({section}, '#') AND size({matches}) > 0, {walk}, transform({matches}, m -> ''))"
 
 
 def _item(gate: str, severity: str, description: str, table: str) -> str:
@@ -109,23 +106,26 @@ def _if_bracketed(section: str, found: str) -> str:
     return f"if(contains({section}, '['), {found}, {none})"
 
 
+def _found(section: str, pattern: str, each: str) -> str:
+    """``each`` over the pairs (match, context) of a pattern, which is looked for once; a match is taken apart by itself afterwards."""
+    both = sql_let("contexts", _contexts(section, pattern, "ms"), "transform(ms, (m, i) -> named_struct('m', m, 'table', get(contexts, i)))")
+    return _if_bracketed(section, sql_let("ms", _all(section, pattern, 0), sql_let("pairs", both, each)))
+
+
 def _action_items(section: str, gate: str) -> str:
     """Numbered lines that carry a severity."""
-    item = _item(gate, _severity("line"), _without_severity(sql_strip("line")), "get(a.tables, i)")
-    lines = f"named_struct('lines', {_all(section, _ACTION, 1)}, 'tables', {_contexts(section, _ACTION)})"
-    return _if_bracketed(section, sql_let("a", lines, f"transform(a.lines, (line, i) -> {item})"))
+    line = f"regexp_extract(p.m, {sql_pattern(_ACTION)}, 1)"
+    item = sql_let("line", line, _item(gate, _severity("line"), _without_severity(sql_strip("line")), "p.table"))
+    return _found(section, _ACTION, f"transform(pairs, p -> {item})")
 
 
 def _checklist_items(section: str, gate: str) -> str:
     """Open checklist lines that say something, with or without a severity."""
-    lines = f"""named_struct('boxes', {_all(section, _CHECK, 1)}, 'lines', {_all(section, _CHECK, 2)},
-        'tables', {_contexts(section, _CHECK)})"""
-    said = f"""filter(transform(a.lines, (line, i) -> named_struct(
-        'box', get(a.boxes, i), 'words', {sql_strip('line')}, 'table', get(a.tables, i))),
-        r -> r.box = ' ' AND r.words <> '')"""
-    words = f"if({_severity('r.words')} = '', r.words, {_without_severity('r.words')})"
-    item = _item(gate, _severity("r.words"), words, "r.table")
-    return _if_bracketed(section, sql_let("a", lines, f"transform({said}, r -> {item})"))
+    group = lambda n: f"regexp_extract(p.m, {sql_pattern(_CHECK)}, {n})"
+    said = f"filter(transform(filter(pairs, p -> {group(1)} = ' '), p -> named_struct('words', {sql_strip(group(2))}, 'table', p.table)), r -> r.words <> '')"
+    words = f"if(s = '', r.words, {_without_severity('r.words')})"
+    item = sql_let("s", _severity("r.words"), _item(gate, "s", words, "r.table"))
+    return _found(section, _CHECK, f"transform({said}, r -> {item})")
 
 
 def gate_sections(reviews: DataFrame) -> DataFrame:

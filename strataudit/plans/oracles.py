@@ -379,6 +379,11 @@ def oracle_sql() -> dict[str, str]:
          "ob.has_sensitive_data", "ob.retention_days", "ob.technology", "f.field_description", "f.field_type"])
     asked = "(SELECT record_id FROM fx_lookups)"
     first, second = "first_load", "second_load"
+    made_prompts = _base(_app(), CHILDREN, _dumps(2), f"""made AS (SELECT t.record_id, concat({_literal(
+            TEMPLATE + chr(10) * 2 + DATA_OPEN)}, doc_text, {_literal(DATA_CLOSE)}, CASE WHEN coalesce(p.content, '') = '' THEN ''
+            ELSE concat({_literal(chr(10) + PRIOR_OPEN)}, p.content, {_literal(PRIOR_CLOSE + COMPARE['command'])}) END,
+            {_literal(chr(10) + CHECKLIST_ONLY)}) AS prompt FROM texts t LEFT JOIN fx_prior p USING (record_id))""",
+                            views=(*FOUR, "prior"))
     return {
         "hierarchy_join_with_orphans": chain + "SELECT * FROM flat",
         "hierarchy_left_join": _base(f"""deduped AS (
@@ -526,13 +531,10 @@ kept AS (SELECT h.record_id, CAST(date_trunc('day', h.ts) AS TIMESTAMP) AS day F
               AS seq FROM new LEFT JOIN used ON new.record_id = used.record_id AND new.day = used.day)""",
                               views=("new_reports", "old_reports"))
         + "SELECT *, printf('%s_review_%s_%03d.md', record_id, day, seq) AS report_name FROM seqs",
-        "review_prompts": _base(_app(), CHILDREN, _dumps(2), f"""made AS (SELECT t.record_id, concat({_literal(
-            TEMPLATE + chr(10) * 2 + DATA_OPEN)}, doc_text, {_literal(DATA_CLOSE)}, CASE WHEN coalesce(p.content, '') = '' THEN ''
-            ELSE concat({_literal(chr(10) + PRIOR_OPEN)}, p.content, {_literal(PRIOR_CLOSE + COMPARE['command'])}) END,
-            {_literal(chr(10) + CHECKLIST_ONLY)}) AS prompt FROM texts t LEFT JOIN fx_prior p USING (record_id))""",
-                                views=(*FOUR, "prior"))
+        "review_prompts": made_prompts
         + """SELECT record_id, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS n_parts, prompt,
             CAST(strlen(prompt) AS INTEGER) AS prompt_bytes FROM made""",
+        "review_prompts_in_pieces": made_prompts + "SELECT record_id, prompt FROM made",
         "gate_sections": sections + "SELECT * FROM secs",
         "gate_tables": _base(SECTIONS, TABLE_NAMES, views=("reviews",))
         + "SELECT r.review_id, r.record_id, r.version, gate, position, table_name FROM tabs JOIN fx_reviews r USING (review_id)",

@@ -375,6 +375,14 @@ def review_prompts(t: Inputs) -> DataFrame:
     return prompts.prompts(documents(t), TEMPLATE, t.view("prior"), checklist_only=True)
 
 
+def review_prompts_in_pieces(t: Inputs) -> DataFrame:
+    """The pieces of all prompts, of records in many parts; brought together here only to be compared."""
+    docs = work_table(nest(*t.four, part_leaves=20), "documents")
+    pieces = prompts.prompt_pieces(docs, TEMPLATE, t.view("prior"), checklist_only=True)
+    together = pieces.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("piece", "text"))).alias("texts"))
+    return together.select("record_id", F.array_join("texts.text", "").alias("prompt"))
+
+
 def gate_sections(t: Inputs) -> DataFrame:
     return reviews.gate_sections(t.view("reviews"))
 
@@ -427,7 +435,7 @@ ALL: list[Callable[[Inputs], DataFrame]] = [
     record_sizes, record_sizes_in_parts, overflow_split, dry_run_report, cache_upsert, cache_loads_at_once, lookup_exact, lookup_single,
     lookup_partial, lookup_terms, overflow_read, overflow_json_read, stats_count, stats_list, stats_cache, stats_usage, stats_reviewer_groups, request_outcomes,
     usage_counters, usage_counters_stream, usage_daily_stream, usage_reviewers, usage_reviewer_hits, usage_daily, usage_ranking,
-    never_reviewed, version_lookup, version_compare, client_version_status, report_names, review_prompts,
+    never_reviewed, version_lookup, version_compare, client_version_status, report_names, review_prompts, review_prompts_in_pieces,
     gate_sections, gate_tables, action_items, checklist_items, findings_summary, findings_filtered, findings_per_review,
     review_delta, gate_rule_checks, external_crossref, integrity_report, dataset_preflight,
 ]

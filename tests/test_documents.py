@@ -151,3 +151,16 @@ def test_prompts(make, spark):
     assert got["a"].prompt_bytes == len(got["a"].prompt.encode())
     tool = prompts.prompts(docs, "T", prior, False, "tool").filter("record_id = 'a'").first().prompt
     assert tool == block % data["a"] + "\n" + earlier.replace("Compare this attestation against", "Compare against")
+
+
+def test_prompt_of_a_record_in_many_parts_is_one(make, spark):
+    tables = _tables(make)
+    prior = spark.createDataFrame([("a", "earlier"), ("b", "")], "record_id string, content string")
+    whole = {r.record_id: r.prompt for r in prompts.prompts(nest(*tables), "T", prior, True, "tool").collect()}
+    for leaves in (3, 50_000):
+        docs = nest(*tables, part_leaves=leaves)
+        assert leaves > 3 or docs.filter("n_parts > 1").count()
+        found = prompts.prompt_pieces(docs, "T", prior, True, "tool").orderBy("record_id", "piece").collect()
+        assert {k: "".join(r.text for r in found if r.record_id == k) for k in whole} == whole
+        assert len({(r.record_id, r.piece) for r in found}) == len(found) and {r.record_id for r in found} == set(whole)
+    assert prompts.prompt_pieces(docs.filter("false"), "T").count() == 0
