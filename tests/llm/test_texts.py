@@ -229,6 +229,28 @@ def test_main_text(spark):
     assert content.extract(pages.filter("false")).count() == 0
 
 
+LONG = "".join(f"<p>{'a sentence of the article with many plain words ' * 4}{k}</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div id=content-sidebar-wrap><main>%s</main><div class=sidebar>Side</div></div>", "<body><div class='layout has-sidebar'>%s</div>",
+    "<body><div class='banner page'><article>%s</article></div>", "<body><form id=f><nav>Menu</nav><article>%s</article></form>",
+    "<body><div class=ad>Buy<div>now</div><main>%s</main>", "<body><div class=ad>%s", "<body><div class=comments-closed><article>%s</article></div>",
+    "<body><article>%s</article><div class=comments><article class=comment>Reader</article><article>Reader</article></div>",
+    "<body><article>%s</article><article><h2>Related</h2><a href=x>More of this</a></article>",
+    "<body><aside><article>Teaser</article></aside><main>%s</main>",
+])
+def test_wrappers_unclosed_parts_and_teasers(page):
+    want = content.main_text(f"<body><article>{LONG}</article>")
+    assert len(want.split("\n")) == 6 and content.main_text(page % LONG) == want
+
+
+def test_articles_of_like_length_all_stay_and_marks_are_whole_words():
+    two = f"<body><main><h1>Day</h1><article>{LONG}</article><article>{LONG}</article></main>"
+    assert len(content.main_text(two).split("\n")) == 13
+    assert [content.marked(c) for c in ("site-header ad", "has-sidebar", "content-sidebar-wrap", "nav-container", "shadow", "")] == [True, False, False, True, False, False]
+
+
 # URL filter
 
 def test_url_parts_and_rules(spark):
