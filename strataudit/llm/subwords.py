@@ -1,16 +1,23 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
 Words are made distinct; all their substrings of bounded length meet the piece table in an equi-join; the matches of a word are
-the edges of its lattice, which a higher-order fold turns into ids. The ids of the words are joined back to the texts.
+the edges of its lattice, which a fold turns into ids. The ids of the words are joined back to the texts.
 The fold merges neighbours by score: the public model is of that kind, and the path of the largest sum of scores (Viterbi) is
-not what it encodes to. Everything runs as DataFrame functions.
+not what it encodes to. It needs a linked list and a heap to stay near-linear in the length of a word (a higher-order aggregate
+copies its state at each step), so it is Python within a batch of words; all else is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SPACE = "▁"
+#: Characters of a word that are cut into substrings together.
+BLOCK = 1024
 
 
 def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
@@ -32,54 +39,71 @@ def words_of(text: Column) -> Column:
     return F.when(F.coalesce(F.char_length(text), F.lit(0)) > 0, F.regexp_extract_all(marked, F.lit(f"({SPACE}+[^{SPACE}]*|[^{SPACE}]+)"), 1)).otherwise(F.array().cast("array<string>"))
 
 
+def merged(word: str, edges: dict[tuple[int, int], tuple[float, int]], byte0: int) -> list[int]:
+    """Ids of a word: of the edges (start, end) that join two neighbouring tokens the one of the best score, then the leftmost, is
+    taken, until none is left. A character without a piece gives the pieces of its bytes."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that starts here; an end of 0: no token does
+    heap = [(-edges[k, k + 2][0], k, k + 1, k + 2) for k in range(n - 1) if (k, k + 2) in edges]
+    heapq.heapify(heap)
+    while heap:
+        _, start, middle, stop = heapq.heappop(heap)
+        if end[start] != middle or end[middle] != stop:  # one of the two has been merged since
+            continue
+        end[start], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = start
+            if (found := edges.get((start, end[stop]))):
+                heapq.heappush(heap, (-found[0], start, stop, end[stop]))
+        if start and (found := edges.get((before[start], stop))):
+            heapq.heappush(heap, (-found[0], before[start], start, stop))
+    ids, at = [], 0
+    while at < n:
+        found = edges.get((at, end[at]))
+        ids += [found[1]] if found else [byte0 + b for b in word[at].encode("utf-8")]
+        at = end[at]
+    return ids
+
+
 def encode_words(words: DataFrame, pieces: DataFrame, longest: int, byte0: int) -> DataFrame:
-    """Rows (word, ids) of distinct ``words`` (word).
+    """Rows (word, ids) of the distinct ones of ``words`` (word).
 
-    The vocabulary is one of merges: of the edges that join two neighbouring tokens the one of the best score, then the
-    leftmost, is taken, until none is left. A character without a piece gives the pieces of its bytes.
+    A word goes by its digest while its substrings meet the pieces, and is cut in blocks, so that a very long word is neither copied
+    for each of its substrings nor read from its start for each. The edges of a word come together where the word lies.
     """
-    at = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("start"))
-    spans = at.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("word") - F.col("start") + 1))).alias("n"))
-    cut = spans.withColumn("piece", F.substring("word", F.col("start"), F.col("n")))
-    edges = cut.join(F.broadcast(pieces), "piece").groupBy("word").agg(F.collect_list(F.struct(
-        (F.col("start") - 1).alias("start"), (F.col("start") + F.col("n") - 1).alias("end"), "score", "id")).alias("edges"))
-    lattice = words.join(edges, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast(edges.schema["edges"].dataType)))
-
-    def step(cuts, _):
-        spans_two = F.filter("edges", lambda e: F.array_contains(cuts, e["start"]) & F.array_contains(cuts, e["end"])
-                             & (F.size(F.filter(cuts, lambda x: (x > e["start"]) & (x < e["end"]))) == 1))
-        best = F.array_min(F.transform(spans_two, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), e["end"].alias("end"))))
-        return F.transform(F.array(best), lambda m: F.filter(cuts, lambda x: m.isNull() | (x <= m["start"]) | (x >= m["end"])))[0]
-
-    length = F.char_length("word")
-    folded = lattice.withColumn("cuts", F.aggregate(F.sequence(F.lit(1), length), F.sequence(F.lit(0), length), step))
-    tokens = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda k: F.struct(
-        F.element_at("cuts", k).alias("start"),
-        F.coalesce(F.get(F.filter("edges", lambda e: (e["start"] == F.element_at("cuts", k)) & (e["end"] == F.element_at("cuts", k + 1))), F.lit(0))["id"],
-                   F.lit(-1)).alias("id")))
-    path = folded.select("word", tokens.alias("path"))
-
-    def raw(start):  # the ids of a character's bytes
-        code = F.hex(F.encode(F.substring(F.col("word"), start + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), (F.char_length(code) / 2).cast("int")),
-                           lambda k: F.conv(F.substring(code, 2 * k - 1, F.lit(2)), 16, 10).cast("int") + byte0)
-
-    ids = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(raw(p["start"]))))
-    return path.select("word", ids.alias("ids"))
+    known = words.groupBy(F.unhex(F.md5("word")).alias("key")).agg(F.first("word").alias("word"))
+    blocks = known.select("key", F.explode(F.expr(
+        f"transform(sequence(0, CAST((length(word) - 1) div {BLOCK} AS int)), b -> struct(b * {BLOCK} AS base, substring(word, b * {BLOCK} + 1, {BLOCK + longest}) AS chars))")).alias("b"))
+    cut = blocks.select("key", F.inline(F.expr(f"""flatten(transform(sequence(1, least({BLOCK}, length(b.chars))), at -> transform(
+        array(substring(b.chars, at, {longest})), near -> transform(sequence(1, length(near)), n ->
+            struct(b.base + at - 1 AS start, b.base + at - 1 + n AS end, substring(near, 1, n) AS piece)))[0]))""")))
+    edges = cut.join(F.broadcast(pieces), "piece").groupBy("key").agg(*[F.collect_list(c).alias(c) for c in ("start", "end", "score", "id")])
+    lattice = known.join(edges, "key", "left").select("word", "start", "end", "score", "id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [merged(word, dict(zip(zip(starts or (), ends or ()), zip(scores or (), ids or ()))), byte0)
+                     for word, starts, ends, scores, ids in zip(*[c.to_pylist() for c in batch.columns])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    return lattice.mapInArrow(fold, "word string, ids array<int>")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, row, ids) of all documents, whole texts; null and empty texts have no ids.
 
-    ``row`` tells rows with one doc_id apart (a hash of the text; equal rows come once). Other columns are not read.
+    ``row`` tells rows with one doc_id apart (a hash of the text); equal rows come as often as they are there. Null doc_ids are
+    rows like others, an empty table gives an empty result. Other columns are not read.
     """
     pieces, longest, byte0 = piece_table(docs.sparkSession, path)
     texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     placed = texts.select("doc_id", "row", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word"))
-    known = encode_words(placed.filter("word is not null").select("word").distinct(), pieces, longest, byte0)
+    known = encode_words(placed.filter("word is not null").select("word"), pieces, longest, byte0)
     joined = placed.join(known, "word", "left")
-    lists = joined.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("pos", "ids")))).alias("parts"))
-    return lists.select("doc_id", "row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    lists = joined.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("pos", "ids")))).alias("parts"),
+                                                F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).alias("copies"))
+    whole = lists.select("doc_id", "row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "copies")
+    return whole.select("doc_id", "row", "ids", F.explode(F.expr("sequence(1, CAST(copies AS int))"))).drop("col")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

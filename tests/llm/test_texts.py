@@ -310,6 +310,19 @@ def test_subwords_equal_the_library_and_decode_to_the_text(docs):
     assert {r.doc_id: r.ids for r in encoded.collect()} == {k + 1: model.encode(t or "") for k, t in enumerate(texts)}
     assert {r.doc_id: r.text for r in subwords.decode(encoded, queries.PIECES).collect()} == {k + 1: t or "" for k, t in enumerate(texts)}
 
+def test_subwords_of_very_long_words_repeats_nothing_and_clashing_columns(docs, clashing):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    rng = random.Random(7)
+    texts = [*ODD, "".join(rng.choice("aeinrst") for _ in range(30_000)), "é日" * 3000, *["".join(rng.choices("ab the,ing▁ \n", k=40)) for _ in range(200)]]
+    assert {r.doc_id: r.ids for r in subwords.encode(docs(*texts), queries.PIECES).collect()} == {k + 1: model.encode(t or "") for k, t in enumerate(texts)}
+    again = docs((1, "a b a"), (1, "a b a"), (1, "c"), (None, "a"), (None, "a"), (2, None), (2, None))
+    assert Counter((r.doc_id, tuple(r.ids)) for r in subwords.encode(again, queries.PIECES).collect()) == Counter(
+        (d, tuple(model.encode(t))) for d, t in ((1, "a b a"), (1, "a b a"), (1, "c"), (None, "a"), (None, "a"), (2, ""), (2, "")))
+    assert subwords.encode(docs(), queries.PIECES).count() == 0
+    assert {r.doc_id: r.ids for r in subwords.encode(clashing("one", None), queries.PIECES).collect()} == {1: model.encode("one"), 2: []}
+
 
 # Fingerprints
 
