@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,10 +40,18 @@ def feistel(numbers: np.ndarray, size: int, key: str, rounds: int = 6) -> np.nda
     return out.astype(np.int64)
 
 
+def two_bytes(ids: bytes) -> np.ndarray:
+    """Ids of four bytes as ids of two; one that needs more is an error."""
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError(f"token id {wide.max()} does not fit in two bytes")
+    return wide.astype("<u2")
+
+
 def cut(docs: DataFrame, path: str, length: int, end_id: int = 1) -> DataFrame:
     """Rows (part, number, n_ids, doc_ids, ids): the ids of a task's documents in a row, ``end_id`` after each, cut at ``length``.
 
-    Ids take two bytes, little-endian. The last sequence of a task is filled up with ``end_id``; ``n_ids`` counts the ids before
+    Ids take two bytes, little-endian; a tokenizer with larger ones is refused. The last sequence of a task is filled up with ``end_id``; ``n_ids`` counts the ids before
     that. ``doc_ids`` are those of the documents that the sequence has ids of, in order. Null texts count as empty.
     """
 
@@ -60,7 +68,7 @@ def cut(docs: DataFrame, path: str, length: int, end_id: int = 1) -> DataFrame:
             for first, texts in in_portions(batch.column(1).to_pylist()):
                 made = []
                 for doc_id, ids in zip(doc_ids[first:], encoder.encode(texts)):
-                    ids = np.append(np.frombuffer(ids, "<u4").astype("<u2"), end)
+                    ids = np.append(two_bytes(ids), end)
                     while len(ids):
                         part_ids, ids = ids[:width - filled], ids[width - filled:]
                         open_ids.append(part_ids)
@@ -102,11 +110,12 @@ def in_training_order(sequences: DataFrame, key: str, per_shard: int, length: in
     return ordered.repartitionByRange(max(1, -(-total // per_shard)), "shard").sortWithinPartitions("shard", "slot")
 
 
-def _recoded(rows: DataFrame, work) -> DataFrame:
-    """``rows`` with ``work`` done to each value of ``ids``."""
+def _recoded(rows: DataFrame, make) -> DataFrame:
+    """``rows`` with the function that ``make`` gives done to each value of ``ids``."""
     at = rows.columns.index("ids")
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
         for batch in batches:
             columns = list(batch.columns)
             columns[at] = pa.array([work(b) for b in columns[at].to_pylist()], pa.binary())
@@ -116,18 +125,13 @@ def _recoded(rows: DataFrame, work) -> DataFrame:
 
 
 def squeezed(rows: DataFrame) -> DataFrame:
-    """``rows`` with ids that take less room in tables and shuffles: the lower bytes, then the upper ones, deflated."""
-    return _recoded(rows, lambda b: zlib.compress(b[::2] + b[1::2], 1))
+    """``rows`` with ids that take less room in tables and shuffles."""
+    return _recoded(rows, lambda: zstandard.ZstdCompressor(level=3).compress)
 
 
 def plain(rows: DataFrame) -> DataFrame:
     """``rows`` of ``squeezed`` as they were."""
-
-    def work(b):
-        halves = zlib.decompress(b)
-        return np.frombuffer(halves, np.uint8).reshape(2, -1).T.tobytes()
-
-    return _recoded(rows, work)
+    return _recoded(rows, lambda: zstandard.ZstdDecompressor().decompress)
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:

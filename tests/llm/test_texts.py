@@ -287,6 +287,12 @@ def test_shards_hold_all_ids_in_slots(spark, docs):
     assert sequences.in_training_order(work_table(sequences.cut(docs(), queries.TOKENIZER, 8), "s"), "k", 10, 8).count() == 0
 
 
+def test_ids_beyond_two_bytes_are_refused():
+    assert sequences.two_bytes(np.array([0, 65_535], "<u4").tobytes()).tolist() == [0, 65_535] and not len(sequences.two_bytes(b""))
+    with pytest.raises(ValueError, match="65536"):
+        sequences.two_bytes(np.array([3, 65_536], "<u4").tobytes())
+
+
 def test_training_order_writes_the_shards_of_its_manifest(spark):
     path, width = work_path(spark, "shards"), 2 * queries.SEQUENCE
     found = queries.op3_training_order(spark, FOLDER, path).collect()
