@@ -1,42 +1,81 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
-Words are made distinct; all their substrings of bounded length meet the piece table in an equi-join; the matches of a word are
-the edges of its lattice, which a fold turns into ids. The ids of the words are joined back to the texts.
+Texts are cut into parts wherever two neighbouring characters stand together in no piece, so no token crosses a cut. Parts are
+counted and made distinct; all their substrings of bounded length meet the piece table in an equi-join; the matches of a part are
+the edges of its lattice, which a fold turns into ids. The ids of the most frequent parts go to every task, those of the others
+to the buckets of documents that hold them.
 The fold merges neighbours by score: the public model is of that kind, and the path of the largest sum of scores (Viterbi) is
-not what it encodes to. It needs a linked list and a heap to stay near-linear in the length of a word (a higher-order aggregate
-copies its state at each step), so it is Python within a batch of words; all else is DataFrame functions.
+not what it encodes to. It needs a linked list and a heap to stay near-linear in the length of a part (a higher-order aggregate
+copies its state at each step), so it is Python within a batch of parts.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import re
+from array import array
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strataudit.llm.tokens import give_back
+from strataudit.session import work_table
 
 SPACE = "▁"
-#: Characters of a word that are cut into substrings together.
+#: Characters of a part that are cut into substrings together.
 BLOCK = 1024
+#: Longer parts are grouped by their digest and are never in the table of frequent parts.
+SHORT = 64
+#: Parts, the most frequent ones, that every task has at hand (their text and ids are short, see ``SHORT``).
+FREQUENT = 1 << 18
+#: Words that a task remembers at once, and characters that it counts until it sends the counts on.
+REMEMBERED, PORTION = 250_000, 8_000_000
+#: Characters of the documents of a bucket, about.
+BUCKET = 4_000_000
 
 
-def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
-    """Rows (piece, id, score) of the model file, the length of the longest piece, and the id of byte 0.
+class Pieces:
+    """The normal pieces of a model file (piece, id, score); control, unknown and byte pieces are left out."""
 
-    The table is as large as the vocabulary; control, unknown and byte pieces are left out.
-    """
-    import sentencepiece
+    def __init__(self, path: str):
+        import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = [(model.IdToPiece(i), i, float(model.GetScore(i))) for i in range(model.GetPieceSize())
-            if not (model.IsControl(i) or model.IsUnknown(i) or model.IsByte(i) or model.IsUnused(i))]
-    return spark.createDataFrame(rows, "piece string, id int, score double"), max(len(p) for p, *_ in rows), model.PieceToId("<0x00>")
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.rows = [(model.IdToPiece(i), i, float(model.GetScore(i))) for i in range(model.GetPieceSize())
+                     if not (model.IsControl(i) or model.IsUnknown(i) or model.IsByte(i) or model.IsUnused(i))]
+        self.longest, self.byte0 = max(len(p) for p, *_ in self.rows), model.PieceToId("<0x00>")
+        self.cutter = Cutter({p[k:k + 2] for p, *_ in self.rows for k in range(len(p) - 1)})
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """Rows (piece, id), as many as the vocabulary has."""
+        return spark.createDataFrame([r[:2] for r in self.rows], "piece string, id int")
 
 
-def words_of(text: Column) -> Column:
-    """A space before the text, spaces as ``SPACE``, cut before each run of them; null and empty texts have no words."""
-    marked = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
-    return F.when(F.coalesce(F.char_length(text), F.lit(0)) > 0, F.regexp_extract_all(marked, F.lit(f"({SPACE}+[^{SPACE}]*|[^{SPACE}]+)"), 1)).otherwise(F.array().cast("array<string>"))
+class Cutter:
+    """Cuts texts into words, and words between two characters that are not in ``pairs``, those that stand together in a piece."""
+
+    def __init__(self, pairs: set[str]):
+        self.pairs = pairs
+        inside = any(b == SPACE != a for a, b in pairs)  # a piece goes on after a space: words are not cut there
+        self.word = re.compile("(?s:.+)" if inside else f"{SPACE}+[^{SPACE}]*")
+
+    def words(self, text: str | None) -> Iterable[str]:
+        """The words of a space and the text, spaces as ``SPACE``; null and empty texts have none."""
+        if not text:
+            return ()
+        marked = SPACE + text.replace(" ", SPACE)
+        return self.word.findall(marked) if len(marked) < PORTION // 8 else (m.group() for m in self.word.finditer(marked))
+
+    def parts(self, word: str) -> Iterator[str]:
+        at = 0
+        for k in range(1, len(word)):
+            if word[k - 1:k + 1] not in self.pairs:
+                yield word[at:k]
+                at = k
+        yield word[at:]
 
 
 def merged(word: str, edges: dict[tuple[int, int], tuple[float, int]], byte0: int) -> list[int]:
@@ -65,45 +104,176 @@ def merged(word: str, edges: dict[tuple[int, int], tuple[float, int]], byte0: in
     return ids
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, longest: int, byte0: int) -> DataFrame:
-    """Rows (word, ids) of the distinct ones of ``words`` (word).
+def _values(column: pa.Array) -> Iterator[str | None]:
+    """The values one by one, so that no second copy of all texts of a batch is made."""
+    return (v.as_py() for v in column)
+
+
+def part_counts(docs: DataFrame, cutter: Cutter) -> DataFrame:
+    """Rows (part, n) of all whole texts; a part may come several times, with a share of its number."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, size = Counter(), 0
+
+        def counted() -> pa.RecordBatch:
+            parts = Counter()
+            for word, n in words.items():
+                for part in cutter.parts(word):
+                    parts[part] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array(list(parts.values()), pa.int64())], names=["part", "n"])
+
+        for batch in batches:
+            for text in _values(batch.column(0)):
+                words.update(cutter.words(text))
+                size += len(text or "")
+                if size > PORTION or len(words) > REMEMBERED:
+                    yield counted()
+                    words, size = Counter(), 0
+        if words:
+            yield counted()
+        give_back()
+
+    return docs.select("text").mapInArrow(count, "part string, n bigint")
+
+
+def encode_parts(counts: DataFrame, pieces: Pieces) -> DataFrame:
+    """Rows (part, n, ids) of the distinct ones of ``counts`` (part, n); ids are little-endian 32-bit numbers.
 
-    A word goes by its digest while its substrings meet the pieces, and is cut in blocks, so that a very long word is neither copied
-    for each of its substrings nor read from its start for each. The edges of a word come together where the word lies.
+    A long part goes by its digest and is cut in blocks, so that it is neither copied for each of its substrings nor read from
+    its start for each. The edges of a part come together where the part lies, without another shuffle.
     """
-    known = words.groupBy(F.unhex(F.md5("word")).alias("key")).agg(F.first("word").alias("word"))
-    blocks = known.select("key", F.explode(F.expr(
-        f"transform(sequence(0, CAST((length(word) - 1) div {BLOCK} AS int)), b -> struct(b * {BLOCK} AS base, substring(word, b * {BLOCK} + 1, {BLOCK + longest}) AS chars))")).alias("b"))
-    cut = blocks.select("key", F.inline(F.expr(f"""flatten(transform(sequence(1, least({BLOCK}, length(b.chars))), at -> transform(
-        array(substring(b.chars, at, {longest})), near -> transform(sequence(1, length(near)), n ->
-            struct(b.base + at - 1 AS start, b.base + at - 1 + n AS end, substring(near, 1, n) AS piece)))[0]))""")))
-    edges = cut.join(F.broadcast(pieces), "piece").groupBy("key").agg(*[F.collect_list(c).alias(c) for c in ("start", "end", "score", "id")])
-    lattice = known.join(edges, "key", "left").select("word", "start", "end", "score", "id")
+    long = F.char_length("part") > SHORT
+    known = counts.select(F.when(long, F.sha2("part", 512)).otherwise(F.col("part")).alias("key"), F.when(long, F.col("part")).alias("long"), "n")
+    known = known.groupBy("key").agg(F.first("long", ignorenulls=True).alias("long"), F.sum("n").alias("n"))
+    blocks = known.select("key", "n", F.explode(F.expr(f"""transform(
+        sequence(0, CAST((length(coalesce(long, key)) - 1) div {BLOCK} AS int)), b -> struct(
+            b * {BLOCK} AS base, substring(coalesce(long, key), b * {BLOCK} + 1, {BLOCK + pieces.longest}) AS chars,
+            CASE WHEN b = 0 THEN long END AS long))""")).alias("b"))
+    cut = blocks.select("key", "n", F.inline(F.expr(f"""flatten(transform(sequence(1, least({BLOCK}, length(b.chars))), at -> transform(
+        array(substring(b.chars, at, {pieces.longest})), near -> transform(sequence(1, length(near)), m -> struct(
+            b.base + at - 1 AS start, b.base + at - 1 + m AS end, substring(near, 1, m) AS piece,
+            CASE WHEN at = 1 AND m = 1 THEN b.long END AS long)))[0]))""")))
+    met = cut.join(F.broadcast(pieces.table(counts.sparkSession)), "piece", "left").filter("id is not null or (start = 0 and end = 1)")
+    edge = F.col("id").isNotNull()  # a part without any keeps the row of its first character
+    lattice = met.groupBy("key").agg(F.first("long", ignorenulls=True).alias("long"), F.first("n").alias("n"),
+                                     *[F.collect_list(F.when(edge, F.col(c))).alias(c) for c in ("start", "end", "id")])
+    scores, byte0 = {i: score for _, i, score in pieces.rows}, pieces.byte0
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [merged(word, dict(zip(zip(starts or (), ends or ()), zip(scores or (), ids or ()))), byte0)
-                     for word, starts, ends, scores, ids in zip(*[c.to_pylist() for c in batch.columns])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
+            parts, starts, ends, ids = batch.column(0).to_pylist(), *[c.flatten().to_numpy().tolist() for c in batch.columns[2:]]
+            places, found = batch.column(2).offsets.to_pylist(), []
+            for part, a, b in zip(parts, places, places[1:]):
+                a, b = a - places[0], b - places[0]
+                edges = {(s, e): (scores[i], i) for s, e, i in zip(starts[a:b], ends[a:b], ids[a:b])}
+                found.append(array("i", merged(part, edges, byte0)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["part", "n", "ids"])
+
+    return lattice.select(F.coalesce("long", "key").alias("part"), "n", "start", "end", "id").mapInArrow(fold, "part string, n bigint, ids binary")
+
+
+def frequent_parts(known: DataFrame, limit: int) -> dict[str, bytes]:
+    """Ids of the most frequent short parts, at most ``limit``: those above a step of frequency."""
+    step = F.floor(F.log2("n") * 8)
+    short = known.filter(F.char_length("part") <= SHORT).withColumn("step", step)
+    total, least = 0, None
+    for row in sorted(short.groupBy("step").count().collect(), reverse=True):  # at most 64 * 8 steps
+        total += row["count"]
+        if total > limit:
+            break
+        least = row["step"]
+    if least is None:
+        return {}
+    found = short.filter(F.col("step") >= least).select("part", "ids").toArrow()
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+
+
+def rare_parts(dealt: DataFrame, cutter: Cutter, frequent) -> DataFrame:
+    """Rows (bucket, part): the parts of ``dealt`` (bucket, text) that are not in the broadcast table ``frequent``."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rare, found = frequent.value, {}, set()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.string()))], names=["bucket", "part"])
+
+        for batch in batches:
+            for bucket, text in zip(batch.column(0).to_pylist(), _values(batch.column(1))):
+                for word in cutter.words(text):
+                    if (parts := rare.get(word)) is None:
+                        parts = tuple({p for p in cutter.parts(word) if p not in common})
+                        if len(word) <= SHORT:
+                            rare[word] = parts
+                    for part in parts:
+                        found.add((bucket, part))
+                if len(rare) > REMEMBERED:
+                    rare.clear()
+                if len(found) > REMEMBERED:
+                    yield rows()
+                    found.clear()
+        if found:
+            yield rows()
+        give_back()
+
+    return dealt.select("bucket", "text").mapInArrow(look, "bucket bigint, part string")
+
+
+def put_together(gathered: DataFrame, cutter: Cutter, frequent) -> DataFrame:
+    """Rows (doc_id, row, ids) of the documents of ``gathered`` (bucket, kind, doc_id, row, text, ids).
+
+    Rows lie by bucket, in it first the rare parts with their ids (kind 0), then the documents (kind 1).
+    """
+    names = ["doc_id", "row", "ids"]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, known, rare, now = frequent.value, {}, {}, None
+        for batch in batches:
+            kinds, buckets, made, at = batch.column(1).to_pylist(), batch.column(0).to_pylist(), [], []
+            for k, (bucket, kind, text) in enumerate(zip(buckets, kinds, _values(batch.column(4)))):
+                if bucket != now:
+                    rare, now = {}, bucket
+                if not kind:
+                    rare[text] = batch.column(5)[k].as_py()
+                    continue
+                out = bytearray()
+                for word in cutter.words(text):
+                    if (ids := known.get(word)) is None:
+                        ids = b"".join(rare[p] if p in rare else common[p] for p in cutter.parts(word))
+                        if len(word) <= SHORT:
+                            known[word] = ids
+                    out += ids
+                if len(known) > REMEMBERED:
+                    known.clear()
+                made.append(bytes(out))
+                at.append(k)
+            if at:
+                ends = np.cumsum([0] + [len(m) // 4 for m in made])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in (2, 3)] + [ids], names=names)
+        give_back()
 
-    return lattice.mapInArrow(fold, "word string, ids array<int>")
+    return gathered.mapInArrow(join, "doc_id bigint, row bigint, ids array<int>")
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, bucket: int = BUCKET) -> DataFrame:
     """Rows (doc_id, row, ids) of all documents, whole texts; null and empty texts have no ids.
 
     ``row`` tells rows with one doc_id apart (a hash of the text); equal rows come as often as they are there. Null doc_ids are
     rows like others, an empty table gives an empty result. Other columns are not read.
+    The ``frequent`` most frequent parts would be the hot keys of a join, so they go to every task; a part that is left is a
+    small share of all. Documents are dealt to buckets of about ``bucket`` characters.
     """
-    pieces, longest, byte0 = piece_table(docs.sparkSession, path)
+    pieces = Pieces(path)
     texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    placed = texts.select("doc_id", "row", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word"))
-    known = encode_words(placed.filter("word is not null").select("word"), pieces, longest, byte0)
-    joined = placed.join(known, "word", "left")
-    lists = joined.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.when(F.col("word").isNotNull(), F.struct("pos", "ids")))).alias("parts"),
-                                                F.count(F.when(F.coalesce("pos", F.lit(0)) == 0, 1)).alias("copies"))
-    whole = lists.select("doc_id", "row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "copies")
-    return whole.select("doc_id", "row", "ids", F.explode(F.expr("sequence(1, CAST(copies AS int))"))).drop("col")
+    known = work_table(encode_parts(part_counts(texts, pieces.cutter), pieces), "parts")
+    size = known.agg(F.sum(F.col("n") * F.char_length("part"))).first()[0] or 0
+    held = docs.sparkSession.sparkContext.broadcast(frequent_parts(known, frequent))
+    dealt = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // bucket)))
+    rare = rare_parts(dealt, pieces.cutter, held).join(known.select("part", "ids"), "part")
+    none = F.lit(None)
+    gathered = dealt.select("bucket", F.lit(1).alias("kind"), "doc_id", "row", "text", none.cast("binary").alias("ids")).unionByName(
+        rare.select("bucket", F.lit(0).alias("kind"), none.cast("bigint").alias("doc_id"), none.cast("bigint").alias("row"), F.col("part").alias("text"), "ids"))
+    return put_together(gathered.repartition("bucket").sortWithinPartitions("bucket", "kind"), pieces.cutter, held)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -322,7 +322,10 @@ def test_subwords_of_very_long_words_repeats_nothing_and_clashing_columns(docs,
     model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
     rng = random.Random(7)
     texts = [*ODD, "".join(rng.choice("aeinrst") for _ in range(30_000)), "é日" * 3000, *["".join(rng.choices("ab the,ing▁ \n", k=40)) for _ in range(200)]]
-    assert {r.doc_id: r.ids for r in subwords.encode(docs(*texts), queries.PIECES).collect()} == {k + 1: model.encode(t or "") for k, t in enumerate(texts)}
+    want = {k + 1: model.encode(t or "") for k, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in subwords.encode(docs(*texts), queries.PIECES).collect()} == want
+    for frequent in (0, 30):  # the others are joined, to many buckets
+        assert {r.doc_id: r.ids for r in subwords.encode(docs(*texts), queries.PIECES, frequent, bucket=2_000).collect()} == want
     again = docs((1, "a b a"), (1, "a b a"), (1, "c"), (None, "a"), (None, "a"), (2, None), (2, None))
     assert Counter((r.doc_id, tuple(r.ids)) for r in subwords.encode(again, queries.PIECES).collect()) == Counter(
         (d, tuple(model.encode(t))) for d, t in ((1, "a b a"), (1, "a b a"), (1, "c"), (None, "a"), (None, "a"), (2, ""), (2, "")))
@@ -330,6 +333,23 @@ def test_subwords_of_very_long_words_repeats_nothing_and_clashing_columns(docs,
     assert {r.doc_id: r.ids for r in subwords.encode(clashing("one", None), queries.PIECES).collect()} == {1: model.encode("one"), 2: []}
 
 
+def test_subwords_of_whole_tables_equal_the_library(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    texts = dict(rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text"))
+    found = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r.ids for r in subwords.encode(found, queries.PIECES, 2_000, bucket=100_000).collect()}
+    assert got == {i: model.encode(t or "") for i, t in texts.items()}
+
+
+def test_no_piece_crosses_a_cut():
+    cutter = subwords.Pieces(queries.PIECES).cutter
+    text = "Hello  world,\nnaïve 日本語"
+    assert "".join(p for w in cutter.words(text) for p in cutter.parts(w)) == "▁" + text.replace(" ", "▁")
+    assert list(cutter.parts("日本")) == ["日", "本"] and list(cutter.words("")) == list(cutter.words(None)) == []
+
+
 # Fingerprints
 
 def test_fingerprints_compare_edited_and_next(docs):
