@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strataudit.llm.tokens import give_back
@@ -31,8 +32,10 @@ BLOCK = 1024
 SHORT = 64
 #: Parts, the most frequent ones, that every task has at hand (their text and ids are short, see ``SHORT``).
 FREQUENT = 1 << 18
-#: Words that a task remembers at once, and characters that it counts until it sends the counts on.
-REMEMBERED, PORTION = 250_000, 8_000_000
+#: Words that a task remembers, about, and characters that it counts until it sends the counts on.
+REMEMBERED, PORTION = 150_000, 8_000_000
+#: Characters that are looked up together.
+TOGETHER = 1_000_000
 #: Characters of the documents of a bucket, about.
 BUCKET = 4_000_000
 
@@ -55,27 +58,61 @@ class Pieces:
 
 
 class Cutter:
-    """Cuts texts into words, and words between two characters that are not in ``pairs``, those that stand together in a piece."""
+    """Cuts texts into words, and words between two characters that are not in ``pairs``, those that stand together in a piece.
 
-    def __init__(self, pairs: set[str]):
-        self.pairs = pairs
-        inside = any(b == SPACE != a for a, b in pairs)  # a piece goes on after a space: words are not cut there
-        self.word = re.compile("(?s:.+)" if inside else f"{SPACE}+[^{SPACE}]*")
+    A word is what follows a mark (``SPACE``) up to the next; the mark itself is left out of it, all else as in the text.
+    """
 
-    def words(self, text: str | None) -> Iterable[str]:
-        """The words of a space and the text, spaces as ``SPACE``; null and empty texts have none."""
+    def __init__(self, pairs: set[str]):
+        self.inside = any(b == SPACE != a for a, b in pairs)  # a piece goes on after a space: words are not cut there
+        self.word = re.compile("(?s:.+)" if self.inside else f"{SPACE}+[^{SPACE}]*")
+        sides = [sorted({p[side] for p in pairs}) for side in (0, 1)]
+        self.numbers = [np.zeros(0x110000, np.uint16) for _ in sides]  # of a character as a first and as a second one; 0: never
+        for table, chars in zip(self.numbers, sides):
+            table[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.together = np.zeros([len(chars) + 1 for chars in sides], bool)
+        for a, b in pairs:
+            self.together[self.numbers[0][ord(a)], self.numbers[1][ord(b)]] = True
+
+    def words(self, text: str | None) -> list[str]:
+        """The words of a space and the text; null and empty texts have none."""
         if not text:
-            return ()
-        marked = SPACE + text.replace(" ", SPACE)
-        return self.word.findall(marked) if len(marked) < PORTION // 8 else (m.group() for m in self.word.finditer(marked))
+            return []
+        if self.inside or "  " in text or SPACE in text or text[0] == " ":
+            return [w[1:] for w in self.word.findall(SPACE + text.replace(" ", SPACE))]
+        return text.split(" ")
+
+    def _cuts(self, marked: str) -> np.ndarray:
+        codes = np.frombuffer(marked.encode("utf-32-le"), "<u4")
+        return ~self.together[self.numbers[0][codes[:-1]], self.numbers[1][codes[1:]]]
 
     def parts(self, word: str) -> Iterator[str]:
-        at = 0
-        for k in range(1, len(word)):
-            if word[k - 1:k + 1] not in self.pairs:
-                yield word[at:k]
-                at = k
-        yield word[at:]
+        """The parts of one word, of any length."""
+        marked, at = SPACE + word, 0
+        for end in np.flatnonzero(self._cuts(marked)):
+            yield marked[at:end + 1]
+            at = end + 1
+        yield marked[at:]
+
+    def parts_of(self, words: list[str]) -> list[list[str]]:
+        """The parts of each word."""
+        if not words:
+            return []
+        marked, starts = SPACE + SPACE.join(words), np.cumsum([0] + [len(w) + 1 for w in words])
+        cuts = self._cuts(marked)
+        cuts[starts[1:-1] - 1] = True
+        places = np.concatenate([[0], np.flatnonzero(cuts) + 1, [len(marked)]])
+        ends, owners = places.tolist(), np.searchsorted(places, starts).tolist()
+        parts = [marked[a:b] for a, b in zip(ends, ends[1:])]
+        return [parts[a:b] for a, b in zip(owners, owners[1:])]
+
+    def cut(self, words: Iterable[str]) -> Iterator[tuple[str, Iterable[str]]]:
+        """Each word and its parts; very long words are taken one by one."""
+        words = list(words)
+        if max(map(len, words), default=0) > PORTION // 8:
+            yield from ((w, self.parts(w)) for w in words if len(w) > PORTION // 8)
+            words = [w for w in words if len(w) <= PORTION // 8]
+        yield from zip(words, self.parts_of(words))
 
 
 def merged(word: str, edges: dict[tuple[int, int], tuple[float, int]], byte0: int) -> list[int]:
@@ -117,8 +154,9 @@ def part_counts(docs: DataFrame, cutter: Cutter) -> DataFrame:
 
         def counted() -> pa.RecordBatch:
             parts = Counter()
-            for word, n in words.items():
-                for part in cutter.parts(word):
+            for word, found in cutter.cut(words):
+                n = words[word]
+                for part in found:
                     parts[part] += n
             return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array(list(parts.values()), pa.int64())], names=["part", "n"])
 
@@ -144,15 +182,13 @@ def encode_parts(counts: DataFrame, pieces: Pieces) -> DataFrame:
     """
     long = F.char_length("part") > SHORT
     known = counts.select(F.when(long, F.sha2("part", 512)).otherwise(F.col("part")).alias("key"), F.when(long, F.col("part")).alias("long"), "n")
-    known = known.groupBy("key").agg(F.first("long", ignorenulls=True).alias("long"), F.sum("n").alias("n"))
-    blocks = known.select("key", "n", F.explode(F.expr(f"""transform(
-        sequence(0, CAST((length(coalesce(long, key)) - 1) div {BLOCK} AS int)), b -> struct(
-            b * {BLOCK} AS base, substring(coalesce(long, key), b * {BLOCK} + 1, {BLOCK + pieces.longest}) AS chars,
-            CASE WHEN b = 0 THEN long END AS long))""")).alias("b"))
-    cut = blocks.select("key", "n", F.inline(F.expr(f"""flatten(transform(sequence(1, least({BLOCK}, length(b.chars))), at -> transform(
-        array(substring(b.chars, at, {pieces.longest})), near -> transform(sequence(1, length(near)), m -> struct(
-            b.base + at - 1 AS start, b.base + at - 1 + m AS end, substring(near, 1, m) AS piece,
-            CASE WHEN at = 1 AND m = 1 THEN b.long END AS long)))[0]))""")))
+    known = known.groupBy("key", "long").agg(F.sum("n").alias("n"))
+    blocks = known.select("key", "n", F.explode(F.expr(f"sequence(0, CAST((length(coalesce(long, key)) - 1) div {BLOCK} AS int) * {BLOCK}, {BLOCK})")).alias("base"), "long")
+    blocks = blocks.select("key", "n", "base", F.expr(f"substring(coalesce(long, key), base + 1, {BLOCK + pieces.longest})").alias("chars"), F.when(F.col("base") == 0, F.col("long")).alias("long"))
+    starts = blocks.select("*", F.explode(F.expr(f"sequence(1, least({BLOCK}, length(chars)))")).alias("at")).select(
+        "key", "n", (F.col("base") + F.col("at") - 1).alias("start"), F.expr(f"substring(chars, at, {pieces.longest})").alias("near"), F.when(F.col("at") == 1, F.col("long")).alias("long"))
+    cut = starts.select("*", F.explode(F.expr("sequence(1, length(near))")).alias("m")).select(
+        "key", "n", "start", (F.col("start") + F.col("m")).alias("end"), F.expr("substring(near, 1, m)").alias("piece"), F.when(F.col("m") == 1, F.col("long")).alias("long"))
     met = cut.join(F.broadcast(pieces.table(counts.sparkSession)), "piece", "left").filter("id is not null or (start = 0 and end = 1)")
     edge = F.col("id").isNotNull()  # a part without any keeps the row of its first character
     lattice = met.groupBy("key").agg(F.first("long", ignorenulls=True).alias("long"), F.first("n").alias("n"),
@@ -192,25 +228,36 @@ def rare_parts(dealt: DataFrame, cutter: Cutter, frequent) -> DataFrame:
     """Rows (bucket, part): the parts of ``dealt`` (bucket, text) that are not in the broadcast table ``frequent``."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rare, found = frequent.value, {}, set()
+        common, plain, rare, found, waiting, size = frequent.value, set(), {}, set(), [], 0
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.string()))], names=["bucket", "part"])
 
+        def looked_up() -> None:
+            if len(plain) + len(rare) > REMEMBERED:
+                plain.clear()
+                rare.clear()
+            for word, parts in cutter.cut(set().union(*(w for _, w in waiting)) - plain - rare.keys()):
+                if (left := {p for p in parts if p not in common}):
+                    rare[word] = left
+                else:
+                    plain.add(word)
+            for bucket, words in waiting:
+                for word in words - plain:
+                    found.update([(bucket, part) for part in rare[word]])
+            waiting.clear()
+
         for batch in batches:
             for bucket, text in zip(batch.column(0).to_pylist(), _values(batch.column(1))):
-                for word in cutter.words(text):
-                    if (parts := rare.get(word)) is None:
-                        parts = tuple({p for p in cutter.parts(word) if p not in common})
-                        if len(word) <= SHORT:
-                            rare[word] = parts
-                    for part in parts:
-                        found.add((bucket, part))
-                if len(rare) > REMEMBERED:
-                    rare.clear()
-                if len(found) > REMEMBERED:
-                    yield rows()
-                    found.clear()
+                waiting.append((bucket, set(cutter.words(text))))
+                size += len(text or "")
+                if size > TOGETHER:
+                    looked_up()
+                    size = 0
+                    if len(found) > REMEMBERED:
+                        yield rows()
+                        found.clear()
+        looked_up()
         if found:
             yield rows()
         give_back()
@@ -218,34 +265,53 @@ def rare_parts(dealt: DataFrame, cutter: Cutter, frequent) -> DataFrame:
     return dealt.select("bucket", "text").mapInArrow(look, "bucket bigint, part string")
 
 
+def packed(texts: DataFrame) -> DataFrame:
+    """``texts`` (bucket, doc_id, row, text) with the texts compressed, as they are shuffled."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            made = pa.array([compress(t.encode("utf-8")) if t else None for t in _values(batch.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], names=batch.schema.names)
+
+    return texts.select("bucket", "doc_id", "row", "text").mapInArrow(pack, "bucket bigint, doc_id bigint, row bigint, text binary")
+
+
 def put_together(gathered: DataFrame, cutter: Cutter, frequent) -> DataFrame:
     """Rows (doc_id, row, ids) of the documents of ``gathered`` (bucket, kind, doc_id, row, text, ids).
 
-    Rows lie by bucket, in it first the rare parts with their ids (kind 0), then the documents (kind 1).
+    Rows lie by bucket, in it first the rare parts with their ids (kind 0), then the documents (kind 1), whose texts are packed.
     """
     names = ["doc_id", "row", "ids"]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, known, rare, now = frequent.value, {}, {}, None
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def ids_of(waiting: list[list[str]]) -> list[bytes]:
+            if len(known) > REMEMBERED:
+                known.clear()
+            fresh = set().union(*waiting) - known.keys()
+            known.update({word: b"".join([rare[p] if p in rare else common[p] for p in parts]) for word, parts in cutter.cut(fresh)})
+            return [b"".join(map(known.__getitem__, words)) for words in waiting]
+
         for batch in batches:
-            kinds, buckets, made, at = batch.column(1).to_pylist(), batch.column(0).to_pylist(), [], []
-            for k, (bucket, kind, text) in enumerate(zip(buckets, kinds, _values(batch.column(4)))):
+            buckets, kinds, (keys, values) = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.columns[4:]
+            made, at, waiting, size = [], [], [], 0
+            for k, (bucket, kind, key) in enumerate(zip(buckets, kinds, _values(keys))):
                 if bucket != now:
-                    rare, now = {}, bucket
+                    made += ids_of(waiting)
+                    rare, now, waiting, size = {}, bucket, [], 0
                 if not kind:
-                    rare[text] = batch.column(5)[k].as_py()
+                    rare[key.decode("utf-8")] = values[k].as_py()
                     continue
-                out = bytearray()
-                for word in cutter.words(text):
-                    if (ids := known.get(word)) is None:
-                        ids = b"".join(rare[p] if p in rare else common[p] for p in cutter.parts(word))
-                        if len(word) <= SHORT:
-                            known[word] = ids
-                    out += ids
-                if len(known) > REMEMBERED:
-                    known.clear()
-                made.append(bytes(out))
                 at.append(k)
+                waiting.append(cutter.words(key and unpack(key).decode("utf-8")))
+                size += len(key or b"")
+                if size > TOGETHER // 2:
+                    made += ids_of(waiting)
+                    waiting, size = [], 0
+            made += ids_of(waiting)
             if at:
                 ends = np.cumsum([0] + [len(m) // 4 for m in made])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4")))
@@ -271,8 +337,8 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT, bucket: int = B
     dealt = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + size // bucket)))
     rare = rare_parts(dealt, pieces.cutter, held).join(known.select("part", "ids"), "part")
     none = F.lit(None)
-    gathered = dealt.select("bucket", F.lit(1).alias("kind"), "doc_id", "row", "text", none.cast("binary").alias("ids")).unionByName(
-        rare.select("bucket", F.lit(0).alias("kind"), none.cast("bigint").alias("doc_id"), none.cast("bigint").alias("row"), F.col("part").alias("text"), "ids"))
+    gathered = packed(dealt).select("bucket", F.lit(1).alias("kind"), "doc_id", "row", "text", none.cast("binary").alias("ids")).unionByName(
+        rare.select("bucket", F.lit(0).alias("kind"), none.cast("bigint").alias("doc_id"), none.cast("bigint").alias("row"), F.col("part").cast("binary").alias("text"), "ids"))
     return put_together(gathered.repartition("bucket").sortWithinPartitions("bucket", "kind"), pieces.cutter, held)
 
 

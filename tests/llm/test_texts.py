@@ -345,9 +345,11 @@ def test_subwords_of_whole_tables_equal_the_library(spark):
 
 def test_no_piece_crosses_a_cut():
     cutter = subwords.Pieces(queries.PIECES).cutter
-    text = "Hello  world,\nnaïve 日本語"
-    assert "".join(p for w in cutter.words(text) for p in cutter.parts(w)) == "▁" + text.replace(" ", "▁")
-    assert list(cutter.parts("日本")) == ["日", "本"] and list(cutter.words("")) == list(cutter.words(None)) == []
+    for text in ("Hello  world,\nnaïve 日本語", " a ", "  ", "▁", "one two"):
+        words = cutter.words(text)
+        assert "".join(p for w in words for p in cutter.parts(w)) == "▁" + text.replace(" ", "▁")
+        assert cutter.parts_of(words) == [list(cutter.parts(w)) for w in words]
+    assert list(cutter.parts("日本")) == ["▁", "日", "本"] and cutter.words("") == cutter.words(None) == []
 
 
 # Fingerprints
