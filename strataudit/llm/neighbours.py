@@ -1,9 +1,9 @@
-"""Nearest neighbours by cosine: several shifted Hilbert curves through projected vectors, then a pass that holds the bound.
+"""Nearest neighbours by cosine: several shifted Hilbert curves through projected vectors, whose windows merge and are ranked again.
 
-Each curve puts all vectors in one order. A query looks at the blocks of the order round its own place; the last of the best
-of all curves is a score that no true neighbour falls below. One pass over the whole index keeps what reaches it, so
-the result does not depend on the curves, only the work does. Equal vectors are one entry of the index, with the ids that
-can be asked for.
+Each curve puts all vectors in one order, range-partitioned by Spark. A query looks at a window of the order round its own
+place, by vectors of one byte a component; what it finds on all curves is measured on the original vectors. The window
+grows with the table (``window_of``). Equal vectors are one entry of the index, with the ids that can be asked for.
+``exact`` adds a pass over the whole index that keeps what reaches the score that the curves have found.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def entries(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """The index and the rows that it is made of. Index rows (rep, ids, v) are the distinct vectors that take part: smallest id, the ``keep`` smallest ids, eight-byte floats.
+    """The index and the rows that it is made of. Index rows (rep, ids, v, embedding) are the distinct vectors that take part: a number, the ``keep`` smallest ids, eight-byte floats.
 
     Null and zero vectors and those with null or non-finite components take no part, nor do null ids and vectors of another
     length than most have.
@@ -77,17 +77,18 @@ def entries(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     valid = vectors.filter("vec_id is not null and embedding is not null").filter(fits & F.exists("embedding", lambda x: x != 0))
     valid = valid.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     sizes = valid.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    valid = valid.filter(F.size("embedding") == (sizes["n"] if sizes else 0)).distinct()
+    valid = valid.filter(F.size("embedding") == (sizes["n"] if sizes else 0))
     row = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     found = valid.withColumn("row", row).filter(F.col("row") <= keep).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([i[0] for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int64())),
-                                              pa.array([np.array(v, dtype="<f8").tobytes() for v in vs], pa.binary())], names=["rep", "ids", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int64())), pa.array([np.array(v, dtype="<f8").tobytes() for v in vs], pa.binary()),
+                                              batch.column(1)], names=["ids", "v", "embedding"])
 
-    return work_table(found.select("ids", "embedding").mapInArrow(flat, "rep bigint, ids array<bigint>, v binary"), "entries"), valid
+    flats = found.select("ids", "embedding").mapInArrow(flat, "ids array<bigint>, v binary, embedding array<double>")
+    return work_table(flats.withColumn("rep", F.monotonically_increasing_id()), "entries"), valid
 
 
 def _moments(index: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
@@ -110,11 +111,11 @@ def _moments(index: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
 
 
 def above(index: DataFrame, bounded: DataFrame, k: int, at_once: int) -> DataFrame:
-    """Rows (me, other, score): entries of ``index`` (rep, v) that can be among the ``k`` best of ``bounded`` (me, v, least).
+    """Rows (me, other, score): entries of ``index`` (rep, ids, v) that can be among the ``k`` best of ``bounded`` (me, v, least).
 
     Every entry is measured against every query, ``at_once`` queries a pass, by products of matrices in four-byte floats; what
     comes near the bound is measured again in eight bytes. A query without a bound (null) takes all. Each task sends the
-    ``k`` best of a query, ties by the smaller id, and raises the bound as it goes.
+    ``k`` best of a query, ties by the smallest id, and raises the bound as it goes.
     """
     spark, slack = index.sparkSession, 1e-5
     n = bounded.count()
@@ -130,7 +131,7 @@ def above(index: DataFrame, bounded: DataFrame, k: int, at_once: int) -> DataFra
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids, x = np.array(batch.column(0).to_pylist(), dtype=np.int64), _matrix(batch.column(1))
+                ids, least_ids, x = *[np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in (0, 2)], _matrix(batch.column(1))
                 size = np.sqrt(np.einsum("ij,ij->i", x, x))
                 short = (x / size[:, None]).astype("<f4")
                 for low in range(0, len(me), 512):
@@ -140,17 +141,18 @@ def above(index: DataFrame, bounded: DataFrame, k: int, at_once: int) -> DataFra
                     for j in range(0, len(rows), 8192):
                         r, c = rows[j:j + 8192], cols[j:j + 8192]
                         score[j:j + 8192] = np.einsum("ij,ij->i", y[r], x[c]) / (norm[r] * size[c])
-                    order = np.lexsort((ids[cols], -score, rows))
+                    order = np.lexsort((least_ids[cols], -score, rows))
                     rows, cols, score = rows[order], cols[order], score[order]
                     starts = np.flatnonzero(np.diff(rows, prepend=-1))
                     place = np.arange(len(rows)) - np.repeat(starts, np.diff(starts, append=len(rows)))
-                    for q, i, s in zip(rows[place < k].tolist(), ids[cols[place < k]].tolist(), score[place < k].tolist()):
-                        best[q].append((-s, i))
+                    chosen = cols[place < k]
+                    for q, i, first, s in zip(rows[place < k].tolist(), ids[chosen].tolist(), least_ids[chosen].tolist(), score[place < k].tolist()):
+                        best[q].append((-s, first, i))
                     for q in rows[starts].tolist():
                         best[q] = sorted(best[q])[:k]
                         if len(best[q]) == k:
                             least[q] = max(least[q], -best[q][-1][0])
-            out = [(int(me[q]), i, -s) for q, found in enumerate(best) for s, i in found]
+            out = [(int(me[q]), i, -s) for q, found in enumerate(best) for s, _, i in found]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["me", "other", "score"])
 
@@ -165,90 +167,125 @@ def above(index: DataFrame, bounded: DataFrame, k: int, at_once: int) -> DataFra
         width = len(rows[0].v) // 8 if rows else 1
         held = spark.sparkContext.broadcast((np.array([r.me for r in rows], dtype=np.int64), least,
                                              np.frombuffer(b"".join(r.v for r in rows), dtype="<f8").reshape(-1, width)))
-        made = work_table(index.select("rep", "v").mapInArrow(scan(held), "me bigint, other bigint, score double"), "above")
+        made = work_table(index.select("rep", "v", F.get("ids", F.lit(0))).mapInArrow(scan(held), "me bigint, other bigint, score double"), "above")
         held.unpersist()
         found = made if found is None else found.unionByName(made)
     return found
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, curves: int = 24, dims: int = 12, bits: int = 5, kept: int = 32,
-           block: int = 1024, range_rows: int = 200_000, at_once: int = 8192) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): for each of ``queries`` (vec_id) the ``k`` nearest others by cosine.
+def window_of(n: int) -> int:
+    """Places on each side that a query sees at least on a curve through ``n`` vectors. For directions that are nearly even the
+    window that keeps the recall grows more slowly than the table (README)."""
+    return max(64, int(0.1 * n ** 0.8))
 
-    All vectors that take part are indexed and the true neighbours are found. On each curve a query sees its block of ``block``
-    entries and the two next to it, which gives the bound for the pass over all entries (``above``). Ties go to the smaller id; with fewer candidates all are returned. Queries that take no part
-    give no rows, repeated rows count once, other columns are not read.
+
+def _one_byte(units: np.ndarray) -> np.ndarray:
+    """Unit vectors with their largest component as 127: a cosine moves by sqrt(dimensions) / 127 at most."""
+    return np.rint(units * (127 / np.abs(units).max(axis=1, keepdims=True))).astype(np.int8)
+
+
+def on_curves(index: DataFrame, lines: Curves) -> DataFrame:
+    """Rows (curve, key, rep, seeks, v): each entry of ``index`` (rep, seeks, v) on each curve, vectors of one byte a component."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                units = _matrix(batch.column(2))
+                units = units / np.linalg.norm(units, axis=1, keepdims=True)
+                short = pa.array([row.tobytes() for row in _one_byte(units)], pa.binary())
+                for c in range(len(lines.turns)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), c, dtype=np.int32)), pa.array(lines.keys(units, c)), *batch.columns[:2], short],
+                                                     names=["curve", "key", "rep", "seeks", "v"])
+
+    return index.select("rep", "seeks", "v").mapInArrow(place, "curve int, key bigint, rep bigint, seeks boolean, v binary")
+
+
+def windows(ordered: DataFrame, block: int, best: int) -> DataFrame:
+    """Rows (me, other, near) of sorted ``ordered`` (curve, rep, seeks, v): the ``best`` others of each that seeks, on each curve.
+
+    A partition is read in blocks of ``block`` entries; those that seek see their block and the two next to it, so three blocks
+    are in memory. The window of a seeker at the end of a partition ends there; on other curves it lies elsewhere.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(blocks, middle):
+            ids, seeks, x = middle
+            if not seeks.any():
+                return
+            others, all_x = np.concatenate([b[0] for b in blocks]), np.concatenate([b[2] for b in blocks])
+            for low in range(0, int(seeks.sum()), 512):
+                me, y = ids[seeks][low:low + 512], x[seeks][low:low + 512]
+                score = y @ all_x.T
+                score[me[:, None] == others[None, :]] = -np.inf
+                top = np.argpartition(-score, best - 1, axis=1)[:, :best] if score.shape[1] > best else np.tile(np.arange(score.shape[1]), (len(me), 1))
+                near = np.take_along_axis(score, top, axis=1)
+                kept = np.isfinite(near)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(me[:, None], top.shape)[kept]), pa.array(others[top][kept]),
+                                                  pa.array(near[kept].astype(float))], names=["me", "other", "near"])
+
+        def blocks_of():
+            curve, ids, seeks, x = None, [], [], []
+            for batch in batches:
+                for c, rep, seek, v in zip(*[col.to_pylist() for col in batch.columns]):
+                    if c != curve or len(ids) == block:
+                        if ids:
+                            yield curve, (np.array(ids), np.array(seeks), _unit(x))
+                        curve, ids, seeks, x = c, [], [], []
+                    ids.append(rep)
+                    seeks.append(seek)
+                    x.append(v)
+            if ids:
+                yield curve, (np.array(ids), np.array(seeks), _unit(x))
+
+        def _unit(vs):
+            x = np.frombuffer(b"".join(vs), np.int8).reshape(len(vs), -1).astype(np.float32)
+            return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+        now, held = None, []  # the blocks before, and the one whose next is awaited
+        for curve, block_ in blocks_of():
+            if curve != now:
+                if held:
+                    yield from found(held, held[-1])
+                now, held = curve, [block_]
+                continue
+            held.append(block_)
+            yield from found(held, held[-2])
+            held = held[-2:]
+        if held:
+            yield from found(held, held[-1])
+
+    return ordered.select("curve", "rep", "seeks", "v").mapInArrow(look, "me bigint, other bigint, near double")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, curves: int = 48, dims: int = 12, bits: int = 5, kept: int = 32,
+           block: int | None = None, range_rows: int = 100_000, exact: bool = False, at_once: int = 8192) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): for each of ``queries`` (vec_id) the ``k`` nearest others found by cosine.
+
+    All vectors that take part are indexed. On each curve a query sees its block of ``block`` entries (``window_of`` if not given) and
+    the two next to it. With ``exact`` the true neighbours are found by a pass over all entries (``above``). Ties go to the smaller
+    id; with fewer candidates all are returned. Queries that take no part give no rows. Rows that repeat a vec_id are rows like
+    others: each is asked for, and a candidate of the others. Other columns are not read.
     """
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     index, valid = entries(vectors, k + 1)
     if index.isEmpty():
         return vectors.sparkSession.createDataFrame([], schema)
     n, mean, spread = _moments(index)
-    lines = Curves(mean, spread, curves, dims, bits, kept)
+    block, width = block or window_of(n), len(mean)
     asked = valid.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
     # the entry of each query: found through the vector itself
-    owner = valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"))
-    asked = work_table(asked.join(owner, "embedding").select(F.col("vec_id").alias("query_id"), "rep").distinct(), "asked")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                units = _matrix(batch.column(1))
-                units = units / np.linalg.norm(units, axis=1, keepdims=True)
-                for c in range(curves):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), c, dtype=np.int32)), pa.array(lines.keys(units, c)), batch.column(0)],
-                                                     names=["curve", "key", "rep"])
-
-    keyed = work_table(index.select("rep", "v").mapInArrow(place, "curve int, key bigint, rep bigint"), "keys")
-    n_ranges = max(1, -(-n // range_rows))
-    shares = [i / n_ranges for i in range(1, n_ranges)]
-    cut = F.array().cast("array<bigint>") if not shares else F.percentile_approx("key", shares, 10_000)
-    bounds = keyed.groupBy("curve").agg(cut.alias("bounds")) if shares else keyed.select("curve", cut.alias("bounds")).distinct()
-    ranged = keyed.join(bounds, "curve").withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("key")))).drop("bounds")
-    inside = (F.row_number().over(Window.partitionBy("curve", "range").orderBy("key", "rep")) - 1) / block
-    sizes = ranged.groupBy("curve", "range").agg(F.ceil(F.count("*") / block).alias("b"))
-    before = sizes.withColumn("first", F.sum("b").over(Window.partitionBy("curve").orderBy("range")) - F.col("b")).drop("b")
-    placed = work_table(ranged.withColumn("inside", F.floor(inside)).join(before, ["curve", "range"]).select(
-        "curve", (F.col("first") + F.col("inside")).alias("block"), "rep"), "blocks")
+    asked = work_table(asked.join(index.select("embedding", "rep"), "embedding").groupBy(F.col("vec_id").alias("query_id"), "rep").agg(F.count("*").alias("copies")), "asked")
     seekers = asked.select("rep").distinct().withColumn("seeks", F.lit(True))
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # half the bytes to choose candidates by
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(b, "<f8").astype("<f4").tobytes() for b in batch.column(1).to_pylist()], pa.binary())],
-                                             names=["rep", "v"])
-
-    full = placed.join(index.select("rep", "v").mapInArrow(shorten, "rep bigint, v binary"), "rep").join(seekers, "rep", "left")
-    both = full.select("curve", "block", "rep", "v", F.lit(False).alias("seeks")).unionByName(
-        full.filter("seeks").select("curve", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), "rep", "v", "seeks"))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def best(rows):
-            found, seek = [r for r in rows if not r[2]], [r for r in rows if r[2]]
-            if not found or not seek:
-                return None
-            ids = np.array([r[0] for r in found])
-            x, y = (np.stack([np.frombuffer(r[1], "<f4").astype(float) for r in part]) for part in (found, seek))
-            score = (y @ x.T) / (np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
-            out = []
-            for row, (me, *_) in zip(score, seek):
-                order = np.lexsort((ids, -row))[:2 * k + 1]
-                out += [(me, int(ids[j])) for j in order if ids[j] != me]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["me", "other"]) if out else None
-
-        now, rows = None, []
-        for batch in batches:
-            for curve, number, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if (curve, number) != now:
-                    if rows and (made := best(rows)):
-                        yield made
-                    now, rows = (curve, number), []
-                rows.append(row)
-        if rows and (made := best(rows)):
-            yield made
-
-    pairs = both.repartition("curve", "block").sortWithinPartitions("curve", "block").select("curve", "block", "rep", "v", "seeks").mapInArrow(
-        near, "me bigint, other bigint").distinct()
+    flagged = index.join(seekers, "rep", "left").select("rep", F.coalesce("seeks", F.lit(False)).alias("seeks"), "v")
+    placed = on_curves(flagged, Curves(mean, spread, curves, dims, bits, kept))
+    n_ranges = max(1, curves * n // max(range_rows, 16 * block))
+    ordered = placed.repartitionByRange(n_ranges, "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
+    pairs = work_table(windows(ordered, block, 2 * k).groupBy("me", "other").agg(F.max("near").alias("near")), "pairs")
+    # rounding moves two cosines: what is further below the last that is wanted cannot be among the nearest found
+    last = pairs.withColumn("place", F.row_number().over(Window.partitionBy("me").orderBy(F.desc("near")))).filter(F.col("place") == k).select("me", F.col("near").alias("last"))
+    close = pairs.join(last, "me", "left").filter(F.col("last").isNull() | (F.col("near") >= F.col("last") - 2 * width ** 0.5 / 127)).select("me", "other")
     itself = seekers.select(F.col("rep").alias("me"), F.col("rep").alias("other"))
-    met = (pairs.unionByName(itself).join(index.select(F.col("rep").alias("me"), F.col("v").alias("a")), "me")
+    met = (close.unionByName(itself).join(index.select(F.col("rep").alias("me"), F.col("v").alias("a")), "me")
            .join(index.select(F.col("rep").alias("other"), "ids", F.col("v").alias("b")), "other").select("me", "other", "ids", "a", "b"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,14 +296,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, curves: int = 24,
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], names=["me", "other", "ids", "score"])
 
     scored = met.mapInArrow(measure, "me bigint, other bigint, ids array<bigint>, score double")
-    seen = F.sort_array(F.collect_list("score"), asc=False)
-    least = scored.select("me", "other", "score").groupBy("me").agg(F.when(F.count("*") > k, F.get(seen, F.lit(k))).alias("least"))
-    bounded = work_table(least.join(index.select(F.col("rep").alias("me"), "v"), "me"), "bounds")
-    order = Window.partitionBy("me").orderBy(F.desc("score"), "other")
-    short = above(index, bounded, k + 1, at_once).withColumn("row", F.row_number().over(order)).filter(F.col("row") <= k + 1)
-    short = short.join(index.select(F.col("rep").alias("other"), "ids"), "other")
-    lists = short.groupBy("me").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
-    options = asked.join(lists, asked["rep"] == lists["me"]).select("query_id", F.explode("near").alias("x")).select(
-        "query_id", "x.score", F.explode("x.ids").alias("vec_id")).filter("vec_id <> query_id")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return options.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("me").orderBy(F.desc("score"), F.get("ids", F.lit(0)), "other")
+    if exact:
+        seen = F.sort_array(F.collect_list("score"), asc=False)
+        least = scored.select("me", "other", "score").groupBy("me").agg(F.when(F.count("*") > k, F.get(seen, F.lit(k))).alias("least"))
+        bounded = work_table(least.join(index.select(F.col("rep").alias("me"), "v"), "me"), "bounds")
+        scored = above(index, bounded, k + 1, at_once).join(index.select(F.col("rep").alias("other"), "ids"), "other")
+    short = scored.withColumn("row", F.row_number().over(order)).filter(F.col("row") <= k + 1)
+    lists = short.groupBy("me").agg(F.collect_list(F.struct("other", "score", "ids")).alias("near"))
+    at = F.when(F.col("x.other") == F.col("rep"), F.array_position("x.ids", F.col("query_id"))).otherwise(0).cast("int")  # the query's own row
+    others = F.concat(F.slice("x.ids", F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice("x.ids", at + 1, F.size("x.ids")))
+    options = asked.join(lists, asked["rep"] == lists["me"]).select("query_id", "rep", "copies", F.explode("near").alias("x")).select(
+        "query_id", "rep", "copies", "x.score", F.explode(others).alias("vec_id"))
+    final = Window.partitionBy("query_id", "rep").orderBy(F.desc("score"), "vec_id")
+    ranked = options.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("query_id", "rank", "vec_id", "score")
