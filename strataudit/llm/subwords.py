@@ -150,14 +150,16 @@ def part_counts(docs: DataFrame, cutter: Cutter) -> DataFrame:
     """Rows (part, n) of all whole texts; a part may come several times, with a share of its number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, size = Counter(), 0
+        words, parts, size, held = Counter(), Counter(), 0, 0
 
-        def counted() -> pa.RecordBatch:
-            parts = Counter()
+        def cut_up() -> None:
             for word, found in cutter.cut(words):
                 n = words[word]
                 for part in found:
                     parts[part] += n
+            words.clear()
+
+        def counted() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array(list(parts.values()), pa.int64())], names=["part", "n"])
 
         for batch in batches:
@@ -165,9 +167,14 @@ def part_counts(docs: DataFrame, cutter: Cutter) -> DataFrame:
                 words.update(cutter.words(text))
                 size += len(text or "")
                 if size > PORTION or len(words) > REMEMBERED:
-                    yield counted()
-                    words, size = Counter(), 0
-        if words:
+                    cut_up()
+                    held, size = held + size, 0
+                    if held > 4 * PORTION or len(parts) > 2 * REMEMBERED:
+                        yield counted()
+                        parts.clear()
+                        held = 0
+        cut_up()
+        if parts:
             yield counted()
         give_back()
 
@@ -182,7 +189,7 @@ def encode_parts(counts: DataFrame, pieces: Pieces) -> DataFrame:
     """
     long = F.char_length("part") > SHORT
     known = counts.select(F.when(long, F.sha2("part", 512)).otherwise(F.col("part")).alias("key"), F.when(long, F.col("part")).alias("long"), "n")
-    known = known.groupBy("key", "long").agg(F.sum("n").alias("n"))
+    known = known.repartition("key").groupBy("key", "long").agg(F.sum("n").alias("n"))  # dealt by key alone, as the edges are grouped
     blocks = known.select("key", "n", F.explode(F.expr(f"sequence(0, CAST((length(coalesce(long, key)) - 1) div {BLOCK} AS int) * {BLOCK}, {BLOCK})")).alias("base"), "long")
     blocks = blocks.select("key", "n", "base", F.expr(f"substring(coalesce(long, key), base + 1, {BLOCK + pieces.longest})").alias("chars"), F.when(F.col("base") == 0, F.col("long")).alias("long"))
     starts = blocks.select("*", F.explode(F.expr(f"sequence(1, least({BLOCK}, length(chars)))")).alias("at")).select(
