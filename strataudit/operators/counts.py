@@ -8,8 +8,8 @@ from strataudit.schemas import LARGE_STORE_OBJECTS, ORPHAN_STORE, OUTLIER_OBJECT
 
 
 def object_counts(objects: DataFrame) -> DataFrame:
-    named = objects.filter("application_name <> ''")
-    return named.groupBy("application_name").agg(F.count("*").alias("object_count"))
+    """Objects per record name. Those that name no record are counted too, under the blank or null that they carry."""
+    return objects.groupBy("application_name").agg(F.count("*").alias("object_count"))
 
 
 def outlier_records(objects: DataFrame, limit: int = OUTLIER_OBJECTS) -> DataFrame:
@@ -19,7 +19,7 @@ def outlier_records(objects: DataFrame, limit: int = OUTLIER_OBJECTS) -> DataFra
 
 def large_stores(objects: DataFrame, limit: int = LARGE_STORE_OBJECTS) -> DataFrame:
     """Stores with more objects than ``limit``."""
-    placed = objects.filter("application_name <> '' AND data_store_id <> ''")
+    placed = objects.filter("data_store_id <> ''")
     counts = placed.groupBy("application_name", "data_store_id").agg(F.count("*").alias("object_count"))
     return counts.filter(F.col("object_count") > limit)
 

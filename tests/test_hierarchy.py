@@ -101,6 +101,13 @@ def test_counts_and_summary(make):
     assert row.join_success_rate == round(13 / 14, 6)
 
 
+def test_objects_without_a_name_are_counted(make):
+    objects = make.objects(*[(name, "s", f"{name}{i}", "n", "1", "1") for name in ("a", "", None) for i in range(3)])
+    assert {r.application_name: r.object_count for r in counts.object_counts(objects).collect()} == {"a": 3, "": 3, None: 3}
+    assert {r.application_name for r in counts.outlier_records(objects, 2).collect()} == {"a", "", None}
+    assert {(r.application_name, r.data_store_id) for r in counts.large_stores(objects, 2).collect()} == {("a", "s"), ("", "s"), (None, "s")}
+
+
 def test_filter_reaches_the_scan(spark, tmp_path, make):
     path = str(tmp_path / "apps")
     make.apps({"record_id": "a", "owner_login": "x"}).write.parquet(path)
