@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 from urllib.parse import urlparse
 
 import pytest
@@ -54,6 +55,16 @@ def test_a_load_rewrites_touched_buckets_only(spark, load):
     assert {r.record_id: r.is_overflow for r in store.keys().collect()} == {k: v[1] for k, v in want.items()}
 
 
+def test_a_load_writes_its_documents_once(spark, load):
+    root = work_path(spark, "test")
+    beside = lambda: {f.name for f in Path(urlparse(root).path).parent.glob("strataudit-load-*")}
+    before, store = beside(), Store(spark, root, buckets=4)
+    store.load(load(NOW, "old", *names(10)), NOW)
+    store.load(load(NOW + HOUR, "new", "rec-003"), NOW + HOUR)
+    assert beside() == before
+    assert held(store) == dict.fromkeys(names(10), ("old", False)) | {"rec-003": ("new", False)}
+
+
 def test_loads_at_once_lose_nothing(spark, load):
     store = Store(spark, work_path(spark, "test"), buckets=4)
     store.load(load(NOW, "first", *names(20)), NOW)
