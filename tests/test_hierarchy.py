@@ -108,6 +108,15 @@ def test_objects_without_a_name_are_counted(make):
     assert {(r.application_name, r.data_store_id) for r in counts.large_stores(objects, 2).collect()} == {("a", "s"), ("", "s"), (None, "s")}
 
 
+def test_children_move_once_before_they_meet(make, spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = H.flat_join(*_volumes(make, 2, 2, 2, 2))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") <= 20 and plan.count("REPARTITION_BY_COL") == 2
+
+
 def test_filter_reaches_the_scan(spark, tmp_path, make):
     path = str(tmp_path / "apps")
     make.apps({"record_id": "a", "owner_login": "x"}).write.parquet(path)
