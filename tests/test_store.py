@@ -172,3 +172,14 @@ def test_compaction_keeps_the_newest_rows(spark):
             assert state() == newest
     plan = stream.latest_rows(spark, table, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(batch" in plan  # batches that a base has are not opened
+
+
+def test_a_large_bucket_is_written_by_many_tasks(spark, load):
+    root = work_path(spark, "test")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        Store(spark, root, buckets=1).load(load(NOW, "", *names(4000)).repartition(8), NOW)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = list(Path(urlparse(root).path).glob("docs/version=*/bucket=0/is_overflow=*/*.parquet"))
+    assert len(files) > 2 and Store(spark, root).documents().count() == 4000
