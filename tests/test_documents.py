@@ -164,3 +164,17 @@ def test_prompt_of_a_record_in_many_parts_is_one(make, spark):
         assert {k: "".join(r.text for r in found if r.record_id == k) for k in whole} == whole
         assert len({(r.record_id, r.piece) for r in found}) == len(found) and {r.record_id for r in found} == set(whole)
     assert prompts.prompt_pieces(docs.filter("false"), "T").count() == 0
+
+
+def test_fields_are_not_moved_to_their_store(make, spark):
+    """Fields are dealt to their object and then to their part, whatever lies between."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = nest(make.apps({"record_id": "a"}), make.stores(("a", "s", "n", "t", "1")), make.objects(("a", "s", "o", "n", "1", "", "")),
+                    make.fields(("a", "o", "f", "d", "t")))
+        plan = docs._jdf.queryExecution().optimizedPlan()
+        at_store = [str(plan.apply(k)) for k in range(200) if plan.apply(k) is not None
+                    and plan.apply(k).nodeName() == "Join" and "store_id" in plan.apply(k).condition().toString()]
+        assert at_store and not any("collect_list" in text for text in at_store)  # the fields of an object
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
