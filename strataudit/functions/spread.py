@@ -16,9 +16,15 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key; the other columns in order break the tie, so the result repeats."""
-    rest = [F.col(c) for c in df.columns if c not in keys]
-    return first_per_key(df, keys, rest or [F.lit(1)])
+    """One row per key; the other columns in order break the tie, so the result repeats.
+
+    It is a grouping and not a window: a query that reads the keys alone then moves and sorts nothing but them.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    least = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_least"))
+    return least.select(*[F.col(c if c in keys else f"_least.{c}") for c in df.columns])
 
 
 def distinct_keys(df: DataFrame, **names: str) -> DataFrame:

@@ -122,3 +122,10 @@ def test_filter_reaches_the_scan(spark, tmp_path, make):
     make.apps({"record_id": "a", "owner_login": "x"}).write.parquet(path)
     plan = filters.by_owner(spark.read.parquet(path), ["x"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(" in plan and F is not None
+
+
+def test_summary_moves_keys_alone(make):
+    tables = _volumes(make, 2, 2, 2, 2)
+    plan = counts.extraction_summary(H.flat_join(*tables), tables[2])._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [p for p in plan.split("RepartitionByExpression")[1:]]
+    assert dealt and not any(c in p.split("LogicalRDD")[0] for p in dealt for c in ("field_type", "field_description", "retention_days"))
