@@ -74,6 +74,20 @@ def test_tokens_equal_the_library_and_packing_is_gapless(docs):
         assert at <= 4096
 
 
+def test_plain_words_are_not_given_to_the_library_and_all_ids_are_its_ids(monkeypatch):
+    tok, encoder, rng = Tokenizer.from_file(queries.TOKENIZER), tokens.WordEncoder(queries.TOKENIZER), random.Random(7)
+    plain = [*"abstvrlemd 019.,!-'", " ", "\t", "\r\n", "'s", "'re", "''", "ÄÖ", "éß", "Don't", "word"]
+    hard = ["\u0301", "Σ", "İ", "ﬁ", "²", "ª", "\xa0", "\x85", "\x00", "\x01", "×", "日本", "й", "<|endoftext|>", "<|"]
+    for signs in (plain, plain + hard):
+        texts = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(500)] + ["", "a" * 20_000]
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        with monkeypatch.context() as m:
+            if signs is plain:
+                m.setattr(encoder, "_ids", lambda words: [] if not words else pytest.fail("the library is asked"))
+            got = encoder.encode(texts)
+        assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
+
+
 def test_packing_of_nothing_and_of_clashing_columns(docs, clashing):
     assert queries.packed(docs()).count() == 0
     assert queries.packed(clashing("a b", "a b", None)).count() == 3
