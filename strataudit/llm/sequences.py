@@ -11,7 +11,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strataudit.llm.tokens import in_portions, word_encoder
+from strataudit.llm.tokens import give_back, in_portions, word_encoder
 from strataudit.session import work_table
 
 TERMINATOR = "\n"
@@ -65,7 +65,7 @@ def cut(docs: DataFrame, path: str, length: int, end_id: int = 1) -> DataFrame:
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, texts in in_portions(batch.column(1).to_pylist()):
+            for first, texts in in_portions(batch.column(1).to_pylist(), 1_000_000):
                 made = []
                 for doc_id, ids in zip(doc_ids[first:], encoder.encode(texts)):
                     ids = np.append(two_bytes(ids), end)
@@ -82,6 +82,7 @@ def cut(docs: DataFrame, path: str, length: int, end_id: int = 1) -> DataFrame:
         if filled:
             ids = b"".join(a.tobytes() for a in open_ids) + end.tobytes() * (width - filled)
             yield rows([(part, number, filled, open_docs, ids)])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(build, "part int, number bigint, n_ids int, doc_ids array<bigint>, ids binary")
 
