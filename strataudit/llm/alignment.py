@@ -2,7 +2,7 @@
 
 Each text is tokenised whole by both. Where a token of either ends at the same byte and both go on with a token that is marked
 with a space, the text is cut into windows; the bytes of the tokens are checked first, so the ends are truly shared. A window's
-groups depend on its two tuples of ids alone, so each distinct window is aligned once and remembered.
+groups depend on its two tuples of ids alone, so each distinct window is aligned once and remembered, as long as that spares work.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ PORTION = 500_000
 #: Distinct windows that a Python worker learns until it forgets those that it has not met since the last time, so twice as many
 #: are in memory at most. Longer windows than ``LONG`` ids are not remembered.
 REMEMBERED, LONG = 100_000, 64
+#: After so many texts in a row with a new window, which are written whole anyway, the windows of so many others are not looked up.
+TRIED, SPARED = 32, 4096
 #: Id pairs, the most frequent ones, that every task has at hand (24 bytes each); all other pairs are joined.
 FREQUENT = 1 << 17
 
@@ -54,7 +56,8 @@ class ByteTokens:
             raise ValueError(f"the ids of {path} do not follow its merges")
         names = {t: i for t, i in model["vocab"].items() if len(t) == 1} | {"".join(m): i for m, i in zip(merges, made)}
         ranks = {bytes(alphabet[c] for c in t): i for t, i in names.items()}
-        self.encoder = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoder = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                         special_tokens={"<|endoftext|>": max(ranks.values()) + 1})  # for ``arrays``; never allowed
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for text, i in ranks.items():
             self.bytes[i] = text
@@ -62,6 +65,10 @@ class ByteTokens:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [self.encoder.encode_ordinary(" " + t) for t in texts]
 
+    def arrays(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of ``encode``, without a Python number for each."""
+        return [self.encoder.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int32) for t in texts]
+
 
 class PieceTokens:
     """Ids and bytes of a SentencePiece model. The model itself puts the space before a text."""
@@ -99,7 +106,7 @@ class Aligner:
         #: The text of a window's groups by its ids, both sides one after another.
         self.known: dict[bytes, str] = {}
         self.before: dict[bytes, str] = {}
-        self.limit = limit
+        self.limit, self.missed, self.spared = limit, 0, 0
 
     def written(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> list[str]:
         """The ids of all groups in order as they are written, with what stands behind each."""
@@ -109,38 +116,50 @@ class Aligner:
         b[to_b - 1] += n_b
         return list(map(self.shown.__getitem__, _merged(a, b, to_a, to_b).tolist()))
 
-    def align(self, a: list[int], b: list[int], raw: bytes):
-        """(groups, links, digest, keys, times) of one text; None if the tokens of either are not its bytes.
-
-        ``keys`` are the distinct linked pairs, ``a`` id * 2^32 + ``b`` id, ``times`` how many links each has.
-        """
-        if b"".join(map(self.bytes[0].__getitem__, a)) != raw or b"".join(map(self.bytes[1].__getitem__, b)) != raw:
-            return None
+    def by_windows(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> list[str]:
+        """As ``written``, joined by window; remembered windows are looked up."""
         if len(self.known) > self.limit:
             self.before, self.known = self.known, {}
-        a_ids, b_ids = np.array(a, np.int32), np.array(b, np.int32)
-        ends_a, ends_b = np.cumsum(self.lengths[0][a_ids]), np.cumsum(self.lengths[1][b_ids])
-        at = np.searchsorted(ends_b, ends_a)
-        i = np.flatnonzero(ends_b[at] == ends_a)
-        to_a, to_b = i + 1, at[i] + 1  # the ends of groups
-        cut = np.append(self.spaced[0][a_ids[to_a[:-1]]] & self.spaced[1][b_ids[to_b[:-1]]], True)
+        cut = np.append(self.spaced[0][a[to_a[:-1]]] & self.spaced[1][b[to_b[:-1]]], True)
         last_a, last_b = to_a[cut], to_b[cut]  # the ends of windows
-        ids, get = _merged(a_ids, b_ids | 1 << 30, last_a, last_b).tobytes(), self.known.get
+        ids, get = _merged(a, b | 1 << 30, last_a, last_b).tobytes(), self.known.get
         ends = (last_a + last_b).tolist()
         found = [get(ids[4 * p:4 * q]) for p, q in zip([0, *ends], ends)]
+        shown = None
         if None in found:
-            shown = None
             for n, known in enumerate(found):
                 if known is None:
                     p, q = ends[n - 1] if n else 0, ends[n]
                     key = ids[4 * p:4 * q]
                     known = get(key) or self.before.get(key)
                     if known is None:
-                        shown = shown or self.written(a_ids, b_ids, to_a, to_b)
+                        shown = shown or self.written(a, b, to_a, to_b)
                         known = "".join(shown[p:q])
                     if q - p <= LONG:
                         self.known[key] = known
                     found[n] = known
+        self.missed = self.missed + 1 if shown else 0
+        if self.missed >= TRIED:
+            self.missed, self.spared = 0, SPARED
+        return found
+
+    def align(self, a: list[int] | np.ndarray, b: list[int], raw: bytes):
+        """(groups, links, digest, keys, times) of one text; None if the tokens of either are not its bytes.
+
+        ``keys`` are the distinct linked pairs, ``a`` id * 2^32 + ``b`` id, ``times`` how many links each has.
+        """
+        a_ids, b_ids = np.asarray(a, np.int32), np.array(b, np.int32)
+        if b"".join(map(self.bytes[0].__getitem__, a_ids.tolist())) != raw or b"".join(map(self.bytes[1].__getitem__, b)) != raw:
+            return None
+        ends_a, ends_b = np.cumsum(self.lengths[0][a_ids]), np.cumsum(self.lengths[1][b_ids])
+        at = np.searchsorted(ends_b, ends_a)
+        i = np.flatnonzero(ends_b[at] == ends_a)
+        to_a, to_b = i + 1, at[i] + 1  # the ends of groups
+        if self.spared:
+            self.spared -= 1
+            found = self.written(a_ids, b_ids, to_a, to_b)
+        else:
+            found = self.by_windows(a_ids, b_ids, to_a, to_b)
         digest = sha256("".join(found)[:-1].encode()).hexdigest()
         size_a, size_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
         links = size_a * size_b
@@ -195,7 +214,7 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             at = 0
             for texts in portions(batch.column(1)):
                 rows = []
-                for text, a, b in zip(texts, left.encode(texts), right.encode(texts)):
+                for text, a, b in zip(texts, left.arrays(texts), right.encode(texts)):
                     found = aligner.align(a, b, b" " + text.encode()) if text else None
                     if found:
                         n_groups, n_links, digest, keys, times = found

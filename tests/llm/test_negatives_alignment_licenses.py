@@ -176,6 +176,19 @@ def test_windows_are_forgotten_at_the_limit():
     assert len(large.known) > len(small.known) and small.before
 
 
+def test_windows_that_spare_no_work_are_not_looked_up():
+    left, right, _ = alignment.tools(queries.BYTES, queries.PIECES)
+    mine, known = alignment.Aligner(left.bytes, right.bytes), []
+    for k in range(3 * alignment.TRIED):
+        text = f"new{k * 7919} words w{k}x <|endoftext|>"
+        sides = right.encode([text])[0], b" " + text.encode()
+        assert left.arrays([text])[0].tolist() == left.encode([text])[0]
+        got, want = mine.align(left.arrays([text])[0], *sides), alignment.Aligner(left.bytes, right.bytes).align(left.encode([text])[0], *sides)
+        assert got[:3] == want[:3] and got[3].tolist() == want[3].tolist() and got[4].tolist() == want[4].tolist()
+        known.append(len(mine.known))
+    assert mine.spared and known[0] < known[alignment.TRIED - 1] == known[-1]
+
+
 def test_byte_tokens_equal_the_library(spark):
     tokenizer = Tokenizer.from_file(queries.BYTES)
     tokenizer.encode_special_tokens = True
