@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -366,6 +367,25 @@ def test_no_piece_crosses_a_cut():
     assert list(cutter.parts("日本")) == ["▁", "日", "本"] and cutter.words("") == cutter.words(None) == []
 
 
+def test_rare_parts_of_a_bucket_move_as_one_row(spark):
+    rng = random.Random(3)
+    rows_in = [(k % 5, "".join(rng.choices("ab é日\x00", k=rng.choice((1, 7, 300)))), bytes(rng.choices(range(256), k=2 * rng.randrange(5)))) for k in range(3_000)]
+    packed = subwords.packed_parts(spark.createDataFrame(rows_in, "bucket bigint, part string, ids binary").repartition(2)).collect()
+    assert len(packed) == 10 and sum(len(r.data) for r in packed) < sum(len(p.encode()) + len(i) for _, p, i in rows_in)  # 3,000 rows before
+    found = [(r.bucket, *row.values()) for r in packed for row in subwords.unpacked_parts(zstandard.ZstdDecompressor().decompress(r.data)).to_pylist()]
+    assert Counter(found) == Counter(rows_in)
+
+
+def test_texts_are_cut_alike_in_blocks_and_together(monkeypatch):
+    cutter = subwords.Pieces(queries.PIECES).cutter
+    texts = ["Hello  world,\nnaïve 日本語", "", " a ", "  ", "▁", "one two", "a ", ""] * 9
+    want = [[p.replace("▁", " ") for w in cutter.words(t) for p in cutter.parts(w)] for t in texts]
+    for near in (1, 2, 7, 1 << 18):
+        monkeypatch.setattr(subwords, "NEAR", near)
+        parts, places = cutter.cut(texts)
+        assert [parts[a:b].to_pylist() for a, b in zip(places, places[1:])] == want
+
+
 # Fingerprints
 
 def test_fingerprints_compare_edited_and_next(docs):
