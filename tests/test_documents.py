@@ -1,11 +1,12 @@
 import datetime as dt
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from strataudit import schemas as S
 from strataudit.functions.json_text import json_dumps
-from strataudit.operators import cache, prompts
+from strataudit.operators import cache, hierarchy, prompts
 from strataudit.operators.nesting import nest
 from strataudit.sources import snapshots
 
@@ -178,3 +179,31 @@ def test_fields_are_not_moved_to_their_store(make, spark):
         assert at_store and not any("collect_list" in text for text in at_store)  # the fields of an object
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_records_dealt_finely_give_the_same_documents(make):
+    tables = _tables(make)
+    in_text = lambda df: sorted(df.select("record_id", "part", "n_parts", "reviewer_group", F.to_json("doc", {"ignoreNullFields": "false"})).collect())
+    for limit in (4, 50_000):
+        alone = in_text(nest(*tables, part_leaves=limit))
+        assert len(alone) == 2 if limit > 4 else len(alone) > 5
+        for large in (0, 3):  # b has two child rows, a has many
+            assert in_text(nest(*tables, part_leaves=limit, large_rows=large)) == alone
+
+
+def test_children_of_most_records_move_once(make, spark):
+    tables = _tables(make)
+    found = lambda rows: {r.large_id for r in hierarchy.large_records(*tables[1:], rows).collect()}
+    assert found(3) == {"a"} and found(50_000) == set()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = {}
+        for large in (3, 50_000):
+            docs = nest(*tables, large_rows=large)
+            docs.collect()
+            final = docs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            keys[large] = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", final)
+        by_object = lambda large: [k for k in keys[large] if "object_id" in k or "store_id" in k or "part#" in k]
+        assert by_object(3) and keys[50_000] and not by_object(50_000)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
