@@ -183,3 +183,11 @@ def test_a_large_bucket_is_written_by_many_tasks(spark, load):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     files = list(Path(urlparse(root).path).glob("docs/version=*/bucket=0/is_overflow=*/*.parquet"))
     assert len(files) > 2 and Store(spark, root).documents().count() == 4000
+
+
+def test_stored_documents_are_compressed_well(spark, load):
+    root = work_path(spark, "test")
+    Store(spark, root, buckets=4).load(load(NOW, "old", *names(10)), NOW)
+    for table in ("docs", "keys", "grams"):
+        found = list(Path(urlparse(f"{root}/{table}").path).rglob("part-*.parquet"))
+        assert found and all(f.name.endswith(".zstd.parquet") for f in found)
